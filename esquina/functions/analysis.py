@@ -1,8 +1,9 @@
 """Text analysis of street names: index chain and query chain.
 
 The steps take and give SQL text over column names, to be used with ``F.expr``; a whole
-chain is one projection. Entries are ``struct<term, pos, ord>``: ``ord`` tells the tokens
-at one position apart (0 word, 1 initial, 2 and 3 number synonyms).
+chain is one projection. Entries are ``struct<pos, ord, term>``, which is the
+stream order: ``ord`` tells the tokens at one position apart (0 word, 1 initial, 2 and
+more number synonyms).
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from esquina.functions.text import fold_sql
 # Private-use characters around what an abbreviation rule matched.
 OPEN, CLOSE = "\ue010", "\ue011"
 
-ENTRY = "STRUCT<term: STRING, pos: INT, ord: INT>"
+ENTRY = "STRUCT<pos: INT, ord: INT, term: STRING>"
 
 # Abbreviations and what they stand for; case matters.
 ABBREVIATIONS = {
@@ -33,7 +34,8 @@ HONORIFICS = [
 ]
 CONNECTORS = ["de", "del", "la", "las", "los", "y"]
 
-# Number words; thirty-one is "treinta y uno".
+# Number words.
+THIRTY_ONE = ["treinta", "y", "uno"]
 NUMBER_WORDS = [
     "uno", "dos", "tres", "cuatro", "cinco", "seis", "siete", "ocho", "nueve", "diez",
     "once", "doce", "trece", "catorce", "quince", "dieciseis", "diecisiete", "dieciocho", "diecinueve", "veinte",
@@ -113,7 +115,7 @@ def plain_words(s: str) -> str:
 
 
 def _entry(term: str, pos: str, order: int) -> str:
-    return f"named_struct('term', {term}, 'pos', {pos}, 'ord', {order})"
+    return f"named_struct('pos', {pos}, 'ord', {order}, 'term', {term})"
 
 
 def _number_map() -> str:
@@ -134,15 +136,13 @@ def with_numbers(entries: str, ws: str) -> str:
     """Adds the other spelling of the numbers 1 to 31 at the same position."""
     none = f"CAST(array() AS ARRAY<{ENTRY}>)"
     single = f"IF(element_at(m, w) IS NULL, {none}, array({_entry('element_at(m, w)', 'i', 2)}))"
-    spelled = f"array({_entry(quoted('treinta'), 'i', 3)}, {_entry(quoted('y'), 'i + 1', 3)}, {_entry(quoted('uno'), 'i + 2', 3)})"
-    joined = (
-        f"IF(w = 'treinta' AND get({ws}, i + 1) = 'y' AND get({ws}, i + 2) = 'uno', "
-        f"array({_entry(quoted('31'), 'i', 3)}), {none})"
-    )
+    parts = [_entry(quoted(t), f"i + {k}", 3 + k) for k, t in enumerate(THIRTY_ONE)]
+    spelled = f"array({', '.join(parts)})"
+    follows = " AND ".join(f"get({ws}, i + {k}) = {quoted(t)}" for k, t in enumerate(THIRTY_ONE) if k)
+    joined = f"IF(w = {quoted(THIRTY_ONE[0])} AND {follows}, array({_entry(quoted('31'), 'i', 6)}), {none})"
     synonyms = f"flatten(transform({ws}, (w, i) -> concat({single}, IF(w = '31', {spelled}, {none}), {joined})))"
     bound = f"get(transform(array({_number_map()}), m -> {synonyms}), 0)"
-    in_order = "array_sort({}, (a, b) -> CASE WHEN a.pos < b.pos OR a.pos = b.pos AND a.ord < b.ord THEN -1 ELSE 1 END)"
-    return f"IF(exists({ws}, w -> {_is_number('w')}), {in_order.format(f'concat({entries}, {bound})')}, {entries})"
+    return f"IF(exists({ws}, w -> {_is_number('w')}), array_sort(concat({entries}, {bound})), {entries})"
 
 
 def _is_number(w: str) -> str:
@@ -178,7 +178,7 @@ def shingles(entries: str) -> str:
 
 def edge_grams(entries: str) -> str:
     """Prefixes of 3 to 15 characters; shorter terms vanish."""
-    size = "least(length(e.term), {})".format(EDGE_MAX)
+    size = f"least(length(e.term), {EDGE_MAX})"
     cut = f"transform(sequence({EDGE_MIN}, {size}), n -> {_entry('left(e.term, n)', 'e.pos', 0)})"
     none = f"CAST(array() AS ARRAY<{ENTRY}>)"
     return f"flatten(transform({entries}, e -> IF(length(e.term) >= {EDGE_MIN}, {cut}, {none})))"

@@ -111,6 +111,11 @@ def place(picked: DataFrame, streets: DataFrame) -> DataFrame:
     )
 
 
+def street_key(code: Column, street: Column) -> Column:
+    """What the street is looked up by: a code that is given, even an empty one, wins."""
+    return F.when(code.isNotNull(), tx.norm_code(code)).otherwise(tx.null_to_empty(street))
+
+
 def attach_addresses(requests: DataFrame, streets: DataFrame, validate: bool = True) -> DataFrame:
     """Every request row with its answer in the struct column ``answer``.
 
@@ -127,7 +132,7 @@ def attach_addresses(requests: DataFrame, streets: DataFrame, validate: bool = T
         {
             "_valid": valid,
             "_by_code": code_in.isNotNull(),
-            "_key": F.when(code_in.isNotNull(), tx.norm_code(code_in)).otherwise(tx.null_to_empty(street)),
+            "_key": street_key(code_in, street),
             "_number": F.col("altura").cast("int"),
             "_fallback": fallback,
         }

@@ -132,7 +132,7 @@ def fuzzy_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     characters of each, so shortened forms are the join key and every pair is measured.
     """
     longest = an.EDGE_MAX + 2
-    asked = terms.filter(F.length("term").between(an.EDGE_MIN - 1, longest)).withColumn(
+    asked = terms.filter(F.length("term").between(an.EDGE_MIN, longest)).withColumn(
         "head", F.left("term", F.lit(FUZZY_PREFIX))
     )
     heads = asked.select("head").distinct()
@@ -266,8 +266,19 @@ def fuzzy_scores(entries: DataFrame, expansions: DataFrame, weighted: DataFrame)
     return per_word.groupBy("qid", "nid").agg((F.sum("best") * FUZZY_BOOST).alias("score"))
 
 
-def score_names(texts: DataFrame, index: SearchIndex) -> DataFrame:
-    """(qid, nid, score) of every name that at least one clause matches."""
+@dataclass
+class ClauseInputs:
+    """What the clauses share: query words, expansions and weighted postings."""
+
+    entries: DataFrame
+    tokens: DataFrame
+    expansions: DataFrame
+    street: DataFrame
+    weighted: DataFrame
+    stats: dict[str, tuple[int, float]]
+
+
+def clause_inputs(texts: DataFrame, index: SearchIndex) -> ClauseInputs:
     entries = settle(
         texts.select("qid", F.inline("entries")).select("qid", "pos", "term").distinct(), "query-entries"
     )
@@ -288,10 +299,15 @@ def score_names(texts: DataFrame, index: SearchIndex) -> DataFrame:
     plain_asked = tokens.filter(F.col("field") == PLAIN).select("term").distinct()
     plain_weights = weighted_postings(index.postings, PLAIN, plain_asked, stats)
     weighted = street.withColumn("field", F.lit(STREET)).unionByName(plain_weights.withColumn("field", F.lit(PLAIN)))
+    return ClauseInputs(entries, tokens, expansions, street, weighted, stats)
+
+
+def score_names(parts: ClauseInputs, index: SearchIndex) -> DataFrame:
+    """(qid, nid, score) of every name that at least one clause matches."""
     clauses = (
-        phrase_scores(entries, street)
-        .unionByName(prefix_scores(tokens, weighted, index.postings))
-        .unionByName(fuzzy_scores(entries, expansions, street))
+        phrase_scores(parts.entries, parts.street)
+        .unionByName(prefix_scores(parts.tokens, parts.weighted, index.postings))
+        .unionByName(fuzzy_scores(parts.entries, parts.expansions, parts.street))
     )
     return clauses.groupBy("qid", "nid").agg(F.round(F.sum("score"), 6).alias("score"))
 
@@ -334,7 +350,7 @@ def search_suggest(requests: DataFrame, docs: DataFrame | SearchIndex) -> DataFr
     )
     counts = settle(asked.groupBy("qstr").agg(F.count(F.lit(1)).alias("n")), "search-texts")
     texts = settle(prepare_texts(counts.select("qstr")), "search-queries")
-    ranked = rank_documents(score_names(texts, index), index)
+    ranked = rank_documents(score_names(clause_inputs(texts, index), index), index)
     answers = ranked.join(texts.select("qid", "qstr"), "qid").drop("qid")
     joined = spread_lookup(asked, answers, counts, ["qstr"], F.col("req_id"), "inner")
     fetched = F.least(F.col("limit") * FETCH_FACTOR, F.lit(MAX_FETCH))
