@@ -453,9 +453,9 @@ def _(spark, sf):
 RES_BOTH = f"SELECT calle1 AS q FROM intersection_requests UNION SELECT calle2 FROM intersection_requests"
 CROSS_CODES = [
     s.STREETS, s.INTERSECTIONS, s.CROSSINGS, LISTED, *s.resolved(RES_BOTH),
-    ("both", f"""SELECT req_id, {s.norm_code('a.code')} AS n1, {s.norm_code('b.code')} AS n2 FROM intersection_requests
+    ("code_pairs", f"""SELECT req_id, {s.norm_code('a.code')} AS n1, {s.norm_code('b.code')} AS n2 FROM intersection_requests
         LEFT JOIN resolved a ON a.q = calle1 LEFT JOIN resolved b ON b.q = calle2"""),
-    ("met", """SELECT req_id, min(id) AS id FROM both JOIN listed ON list_contains(nums_norm, n1) AND list_contains(nums_norm, n2)
+    ("met", """SELECT req_id, min(id) AS id FROM code_pairs JOIN listed ON list_contains(nums_norm, n1) AND list_contains(nums_norm, n2)
         GROUP BY req_id"""),
     ("p84", POINTS_84),
     ("crossed", """SELECT r.req_id, CASE WHEN p.id IS NOT NULL THEN true END AS success, round(lat, 7) AS lat, round(lon, 7) AS lon,
@@ -490,11 +490,11 @@ def _(spark, sf):
     return v.address_requests(spark, sf).filter(F.col("partido") == "Partido 3").select("req_id", "partido")
 
 
-@query("j11_numeric_coordinates", """SELECT event_id, TRY_CAST(replace(props, '{"k": ', '') AS DOUBLE) AS lon FROM events
-    WHERE TRY_CAST(replace(props, '{"k": ', '') AS DOUBLE) IS NOT NULL""")
+@query("j11_numeric_coordinates", "SELECT event_id, value AS lon FROM events WHERE event_type <> 'error' AND value IS NOT NULL")
 def _(spark, sf):
-    events = v.load(spark, sf, "events").withColumn("lon", F.expr("replace(props, '{\"k\": ', '')")).withColumn("lat", F.col("value"))
-    lines = geojson.feature_lines(events.select("event_id", "lon", "lat"), "lon", "lat")
+    lon = F.when(F.col("event_type") == "error", F.lit("n/a")).otherwise(F.col("value").cast("string"))
+    events = v.load(spark, sf, "events").select("event_id", lon.alias("lon"), F.col("value").alias("lat"))
+    lines = geojson.feature_lines(events, "lon", "lat")
     read = F.from_json("value", "struct<properties:struct<event_id:long>,geometry:struct<coordinates:array<double>>>")
     return lines.select(read.alias("f")).select("f.properties.event_id", F.col("f.geometry.coordinates")[0].alias("lon"))
 
@@ -566,22 +566,26 @@ def _(spark, sf):
     return ws.select("doc_id", F.size("ws").cast("long").alias("n"), F.md5(F.array_join("ws", "|")).alias("ws"))
 
 
-@query("x6_x10_query_chain", s.ctes(*s.entries("documents", "doc_id", "text")) + """SELECT k AS doc_id, count(*) AS n,
-    md5(string_agg(concat(pos, ':', term), '|' ORDER BY pos, ord)) AS stream FROM stream GROUP BY k""")
+@query("x6_x10_query_chain", s.ctes(*s.entries("documents", "doc_id", "text")) + """SELECT split.k AS doc_id, count(term) AS n,
+    md5(coalesce(string_agg(concat(pos, ':', term), '|' ORDER BY pos, ord), '')) AS stream
+    FROM split LEFT JOIN stream ON stream.k = split.k GROUP BY split.k""")
 def _(spark, sf):
     e = v.load(spark, sf, "documents").select("doc_id", F.expr(an.street_words("text")).alias("ws")).select(
         "doc_id", F.expr(an.query_entries("ws")).alias("stream")
     )
     joined = F.expr("array_join(transform(stream, x -> concat(x.pos, ':', x.term)), '|')")
-    return e.filter(F.size("stream") > 0).select("doc_id", F.size("stream").cast("long").alias("n"), F.md5(joined).alias("stream"))
+    return e.select("doc_id", F.size("stream").cast("long").alias("n"), F.md5(joined).alias("stream"))
 
 
-@query("x11_x13_index_chain", s.ctes(*s.entries("documents", "doc_id", "text"), *s.index_terms()) + """SELECT term, count(*) AS n,
-    count(DISTINCT k) AS docs, sum(pos) AS positions FROM grams GROUP BY term""")
+@query("x11_x13_index_chain", s.ctes(*s.entries("documents", "doc_id", "text"), *s.index_terms()) + """SELECT k AS doc_id,
+    count(*) AS n, count(DISTINCT term) AS terms, CAST(sum((pos + 1) * length(term)) AS BIGINT) AS weight FROM grams GROUP BY k""")
 def _(spark, sf):
     docs = v.load(spark, sf, "documents").select(F.col("doc_id").alias("nid"), F.col("text").alias("nombre_cal"))
-    per_doc = search.street_terms(docs).groupBy("term", "nid").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("positions"))
-    return per_doc.groupBy("term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"), F.sum("positions").alias("positions"))
+    per_term = search.street_terms(docs).groupBy("nid", "term").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("at"))
+    weight = (F.col("at") + F.col("n")) * F.length("term")
+    return per_term.groupBy(F.col("nid").alias("doc_id")).agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("terms"), F.sum(weight).alias("weight")
+    )
 
 
 @query("x14_keyword", s.ctes(s.STREETS) + f"SELECT id, {s.fold('lower(nombre_cal)')} AS kw, {s.fold('lower(numero_cal)')} AS code_kw FROM streets")
@@ -629,7 +633,7 @@ def _(spark, sf):
     index, _, parts = _search(spark, sf)
     terms = parts.entries.select("term").distinct()
     weighted = search.weighted_postings(index.postings, search.STREET, terms, parts.stats)
-    return weighted.join(index.names.select("nid", "nombre_cal"), "nid").select("term", "nombre_cal", F.round("weight", 6).alias("weight"))
+    return weighted.rows.join(index.names.select("nid", "nombre_cal"), "nid").select("term", "nombre_cal", F.round("weight", 6).alias("weight"))
 
 
 def _clause(name: str) -> str:
@@ -639,7 +643,7 @@ def _clause(name: str) -> str:
 @query("q3_phrase", _clause("phrase"))
 def _(spark, sf):
     index, texts, parts = _search(spark, sf)
-    return _by_name(search.phrase_scores(parts.entries, parts.street), texts, index)
+    return _by_name(search.phrase_scores(parts.entries, parts.weighted[search.STREET]), texts, index)
 
 
 @query("q4_bool_prefix", _clause("prefix"))
@@ -651,7 +655,7 @@ def _(spark, sf):
 @query("q5_fuzzy", _clause("fuzzy"))
 def _(spark, sf):
     index, texts, parts = _search(spark, sf)
-    return _by_name(search.fuzzy_scores(parts.entries, parts.expansions, parts.street), texts, index)
+    return _by_name(search.fuzzy_scores(parts.entries, parts.expansions, parts.weighted[search.STREET]), texts, index)
 
 
 @query("q5_fuzzy_terms", SEARCH + "SELECT term, found, edits FROM near")

@@ -201,12 +201,12 @@ def entries(source: str, key: str, text: str, prefix: str = "") -> list[tuple[st
         (f"{p}tok", f"SELECT k, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS pos FROM {p}split"),
         (f"{p}ahead", f"""SELECT *, lead(w, 1) OVER (PARTITION BY k ORDER BY pos) AS w1,
             lead(w, 2) OVER (PARTITION BY k ORDER BY pos) AS w2 FROM {p}tok"""),
-        (f"{p}all", f"""SELECT k, pos, 0 AS ord, w AS term FROM {p}tok
+        (f"{p}every", f"""SELECT k, pos, 0 AS ord, w AS term FROM {p}tok
             UNION ALL SELECT k, pos, 1, left(w, 1) FROM {p}tok WHERE regexp_matches(w, '^\\p{{L}}{{2}}')
             UNION ALL SELECT k, pos, 2, other FROM {p}tok JOIN (VALUES {numbers}) n(word, other) ON word = w
             UNION ALL SELECT k, pos + i, 3 + i, t FROM {p}tok, (VALUES (0, 'treinta'), (1, 'y'), (2, 'uno')) s(i, t) WHERE w = '31'
             UNION ALL SELECT k, pos, 6, '31' FROM {p}ahead WHERE w = 'treinta' AND w1 = 'y' AND w2 = 'uno'"""),
-        (f"{p}stream", f"SELECT * FROM {p}all WHERE term NOT IN ({stop})"),
+        (f"{p}stream", f"SELECT * FROM {p}every WHERE term NOT IN ({stop})"),
     ]
 
 

@@ -135,12 +135,13 @@ def with_initials(ws: str) -> str:
 def with_numbers(entries: str, ws: str) -> str:
     """Adds the other spelling of the numbers 1 to 31 at the same position."""
     none = f"CAST(array() AS ARRAY<{ENTRY}>)"
-    single = f"IF(element_at(m, w) IS NULL, {none}, array({_entry('element_at(m, w)', 'i', 2)}))"
-    parts = [_entry(quoted(t), f"i + {k}", 3 + k) for k, t in enumerate(THIRTY_ONE)]
-    spelled = f"array({', '.join(parts)})"
-    follows = " AND ".join(f"get({ws}, i + {k}) = {quoted(t)}" for k, t in enumerate(THIRTY_ONE) if k)
-    joined = f"IF(w = {quoted(THIRTY_ONE[0])} AND {follows}, array({_entry(quoted('31'), 'i', 6)}), {none})"
-    synonyms = f"flatten(transform({ws}, (w, i) -> concat({single}, IF(w = '31', {spelled}, {none}), {joined})))"
+    single = f"IF(element_at(m, x.w) IS NULL, {none}, array({_entry('element_at(m, x.w)', 'x.i', 2)}))"
+    parts = [_entry(quoted(t), f"x.i + {k}", 3 + k) for k, t in enumerate(THIRTY_ONE)]
+    spelled = f"IF(x.w = '31', array({', '.join(parts)}), {none})"
+    follows = " AND ".join(f"get({ws}, x.i + {k}) = {quoted(t)}" for k, t in enumerate(THIRTY_ONE) if k)
+    joined = f"IF(x.w = {quoted(THIRTY_ONE[0])} AND {follows}, array({_entry(quoted('31'), 'x.i', 6)}), {none})"
+    numbers = f"filter(transform({ws}, (w, i) -> named_struct('w', w, 'i', i)), x -> {_is_number('x.w')})"
+    synonyms = f"flatten(transform({numbers}, x -> concat({single}, {spelled}, {joined})))"
     bound = f"get(transform(array({_number_map()}), m -> {synonyms}), 0)"
     return f"IF(exists({ws}, w -> {_is_number('w')}), array_sort(concat({entries}, {bound})), {entries})"
 

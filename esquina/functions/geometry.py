@@ -79,11 +79,15 @@ def parse_geojson(text: Column, srid: int) -> Column:
         usable, F.flatten(F.transform(members, lambda m: _coordinates(m["type"], m["coordinates"])))
     )
     parts = F.when(kind == COLLECTION, collected).otherwise(plain)
-    whole = F.forall(
-        parts,
-        lambda p: (F.size(p) > 0) & F.forall(p, lambda v: v["x"].isNotNull() & v["y"].isNotNull()),
-    )
-    return F.when(F.coalesce((F.size(parts) > 0) & whole, F.lit(False)), geometry(kind, F.lit(srid), parts))
+
+    def checked(found: Column) -> Column:
+        whole = F.forall(
+            found,
+            lambda p: (F.size(p) > 0) & F.forall(p, lambda v: v["x"].isNotNull() & v["y"].isNotNull()),
+        )
+        return F.when(F.coalesce((F.size(found) > 0) & whole, F.lit(False)), geometry(kind, F.lit(srid), found))
+
+    return let(parts, checked)
 
 
 def promote_multi(geom: Column) -> Column:
@@ -111,12 +115,16 @@ def transformable(srid: Column, dst: int) -> Column:
 
 def transform_vertex(v: Column, srid: Column, dst: int) -> Column:
     """The vertex in ``dst``; null for a pair of systems that is not supported."""
-    out = F.when(srid == dst, v)
-    if dst == WGS84:
-        out = out.when(srid == MERCATOR, _to_wgs84(v))
-    elif dst == MERCATOR:
-        out = out.when(srid == WGS84, _to_mercator(v))
-    return out
+
+    def moved(w: Column) -> Column:
+        out = F.when(srid == dst, w)
+        if dst == WGS84:
+            out = out.when(srid == MERCATOR, _to_wgs84(w))
+        elif dst == MERCATOR:
+            out = out.when(srid == WGS84, _to_mercator(w))
+        return out
+
+    return let(v, moved)
 
 
 def transform(geom: Column, dst: int) -> Column:
@@ -128,9 +136,8 @@ def transform(geom: Column, dst: int) -> Column:
 
 def reproject(geom: Column, src: int, dst: int) -> Column:
     """Reads the stored numbers as ``src``, whatever they are tagged with."""
-    if src == dst:
-        return F.when(geom.isNotNull(), geometry(geom["type"], F.lit(dst), geom["parts"]))
-    return transform(geometry(geom["type"], F.lit(src), geom["parts"]), dst)
+    retagged = F.when(geom.isNotNull(), geometry(geom["type"], F.lit(src), geom["parts"]))
+    return retagged if src == dst else let(retagged, lambda g: transform(g, dst))
 
 
 def default_srid(srid: Column) -> Column:
@@ -177,6 +184,10 @@ def merge_lines(parts: Column) -> Column:
     coordinates, each part turned as needed; a gap or a node where three parts meet
     gives null. The direction is that of the majority of the parts.
     """
+    return let(parts, _merged)
+
+
+def _merged(parts: Column) -> Column:
     ends = F.flatten(F.transform(parts, lambda p: F.array(_first(p), _last(p))))
     nodes = F.array_distinct(ends)
 
@@ -272,40 +283,47 @@ def interpolate(line: Column, fraction: Column) -> Column:
 
 def centroid(geom: Column) -> Column:
     """Mean of points; length-weighted mean of edge middles; area-weighted for rings."""
+    return let(geom, _centroid)
+
+
+def _centroid(geom: Column) -> Column:
     kind, parts = geom["type"], geom["parts"]
 
     def mean(vs: Column) -> Column:
         n = F.size(vs)
         return F.when(n > 0, vertex(_sum(vs, lambda v: v["x"]) / n, _sum(vs, lambda v: v["y"]) / n))
 
-    def of_lines(lines: Column) -> Column:
-        edges = F.flatten(F.transform(lines, _edges))
+    def middle(edges: Column) -> Column:
         total = _sum(edges, lambda e: e["length"])
 
         def axis(name: str) -> Column:
             return _sum(edges, lambda e: (e["a"][name] + e["b"][name]) / 2 * e["length"])
 
-        weighted = vertex(axis("x") / total, axis("y") / total)
-        return F.when(total > 0, weighted).otherwise(mean(F.flatten(lines)))
+        return F.when(total > 0, vertex(axis("x") / total, axis("y") / total))
+
+    def of_lines(lines: Column) -> Column:
+        return F.coalesce(let(F.flatten(F.transform(lines, _edges)), middle), mean(F.flatten(lines)))
 
     def of_rings(rings: Column) -> Column:
         # Relative to the first vertex, so that large coordinates do not cancel.
         base = _first(_first(rings))
-        edges = F.flatten(F.transform(rings, _edges))
 
         def cross(e: Column) -> Column:
             return (e["a"]["x"] - base["x"]) * (e["b"]["y"] - base["y"]) - (e["b"]["x"] - base["x"]) * (
                 e["a"]["y"] - base["y"]
             )
 
-        area = _sum(edges, cross)
+        def balance(edges: Column) -> Column:
+            area = _sum(edges, cross)
 
-        def axis(name: str) -> Column:
-            return base[name] + _sum(
-                edges, lambda e: (e["a"][name] + e["b"][name] - 2 * base[name]) * cross(e)
-            ) / (3 * area)
+            def axis(name: str) -> Column:
+                return base[name] + _sum(
+                    edges, lambda e: (e["a"][name] + e["b"][name] - 2 * base[name]) * cross(e)
+                ) / (3 * area)
+
+            return F.when(area != 0, vertex(axis("x"), axis("y")))
 
-        return F.when(area != 0, vertex(axis("x"), axis("y"))).otherwise(of_lines(rings))
+        return F.coalesce(let(F.flatten(F.transform(rings, _edges)), balance), of_lines(rings))
 
     lines = line_parts(geom)
     return (
@@ -316,30 +334,36 @@ def centroid(geom: Column) -> Column:
 
 
 def _inner_run(rings: Column) -> Column:
-    """Middle of the widest inside run on the scan line halfway up the rings."""
-    ys = F.transform(F.flatten(rings), lambda v: v["y"])
-    low, high = F.array_min(ys), F.array_max(ys)
-    middle = (low + high) / 2
-    # A scan line between vertices crosses every edge at most once.
-    above = F.array_min(F.filter(ys, lambda y: y > middle))
-    below = F.array_max(F.filter(ys, lambda y: y <= middle))
-    scan = (above + below) / 2
-    edges = F.flatten(F.transform(rings, _edges))
-    crossing = F.filter(edges, lambda e: (e["a"]["y"] > scan) != (e["b"]["y"] > scan))
-    xs = F.array_sort(
-        F.transform(
-            crossing,
+    """Middle of the widest inside run on a scan line about halfway up the rings."""
+
+    def height(ys: Column) -> Column:
+        low, high = F.array_min(ys), F.array_max(ys)
+        middle = (low + high) / 2
+        # Between two vertex heights, so that it crosses every edge at most once.
+        above = F.array_min(F.filter(ys, lambda y: y > middle))
+        below = F.array_max(F.filter(ys, lambda y: y <= middle))
+        return F.when(high > low, (above + below) / 2)
+
+    def crossings(scan: Column) -> Column:
+        edges = F.flatten(F.transform(rings, _edges))
+        met = F.filter(edges, lambda e: (e["a"]["y"] > scan) != (e["b"]["y"] > scan))
+        xs = F.transform(
+            met,
             lambda e: e["a"]["x"]
             + (scan - e["a"]["y"]) / (e["b"]["y"] - e["a"]["y"]) * (e["b"]["x"] - e["a"]["x"]),
         )
-    )
-    runs = F.transform(
-        F.filter(xs, lambda x, i: i % 2 == 0),
-        lambda x, i: F.struct(
-            (F.get(xs, i * 2 + 1) - x).alias("width"), ((F.get(xs, i * 2 + 1) + x) / 2).alias("x")
-        ),
-    )
-    return F.when(high > low, vertex(F.array_max(runs)["x"], scan))
+        return F.struct(scan.alias("y"), F.array_sort(xs).alias("xs"))
+
+    def widest(line: Column) -> Column:
+        def run(x: Column, i: Column) -> Column:
+            end = F.get(line["xs"], i + 1)
+            return F.struct(F.when(i % 2 == 0, end - x).alias("width"), ((end + x) / 2).alias("x"))
+
+        best = F.array_max(F.transform(line["xs"], run))
+        return F.when(best["width"].isNotNull(), vertex(best["x"], line["y"]))
+
+    ys = F.transform(F.flatten(rings), lambda v: v["y"])
+    return let(let(let(ys, height), crossings), widest)
 
 
 def representative_point(geom: Column) -> Column:
@@ -348,6 +372,10 @@ def representative_point(geom: Column) -> Column:
     Points: the first. Lines: the inner vertex nearest to the centroid, or an end if
     there is none. Polygons: the middle of the widest inside run of a scan line.
     """
+    return let(geom, _representative)
+
+
+def _representative(geom: Column) -> Column:
     kind = geom["type"]
     lines = line_parts(geom)
     inner = F.flatten(F.transform(lines, lambda p: F.slice(p, F.lit(2), F.greatest(F.size(p) - 2, F.lit(0)))))
@@ -381,6 +409,7 @@ def representative_point(geom: Column) -> Column:
 
 def point_geojson(lon: Column, lat: Column) -> Column:
     """A GeoJSON point text with at most nine decimals; null without coordinates."""
+    # Fixed value: nine decimals.
     pair = F.array(F.round(lon, 9), F.round(lat, 9))
     body = F.to_json(F.struct(F.lit("Point").alias("type"), pair.alias("coordinates")))
     return F.when(lon.isNotNull() & lat.isNotNull(), body)

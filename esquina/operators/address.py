@@ -53,7 +53,7 @@ def best_blocks(streets: DataFrame) -> DataFrame:
     return (
         with_bounds(streets)
         .select(tx.norm_code(F.col("numero_cal")).alias("code"), "id", F.inline(sides))
-        .select("code", "even", "width", "id", F.inline(rg.pieces_of_range("low", "high", with_any=True)))
+        .select("code", "even", "width", "id", F.inline_outer(rg.pieces_of_range("low", "high", with_any=True)))
         .groupBy("code", "even", "level", "block")
         .agg(F.min(F.struct("width", "id")).alias("best"))
     )
@@ -69,7 +69,7 @@ def best_segments(points: DataFrame, streets: DataFrame) -> DataFrame:
         "code",
         "altura",
         rg.is_even(F.col("altura")).alias("even"),
-        F.inline(rg.pieces_of_number("altura", "fallback")),
+        F.inline_outer(rg.pieces_of_number("altura", "fallback")),
     )
     met = asked.join(best_blocks(streets), ["code", "even", "level", "block"])
     outside = F.col("level") == rg.ANY_NUMBER
@@ -152,12 +152,16 @@ def attach_addresses(requests: DataFrame, streets: DataFrame, validate: bool = T
         F.when(F.col("_by_code"), F.col("_key")).otherwise(tx.norm_code(F.col("resolved"))).alias("_code"),
     )
     coded = settle(looked, "address-codes")
-    points = coded.groupBy(F.col("_code").alias("code"), F.col("_number").alias("altura")).agg(
-        F.max("fallback").alias("fallback")
+    points = settle(
+        coded.groupBy("_code", "_number").agg(F.max("fallback").alias("fallback"), F.count(F.lit(1)).alias("n")),
+        "address-points",
     )
-    placed = place(best_segments(points, streets), streets)
-    same = [F.col("_code") == F.col("code"), F.col("_number").eqNullSafe(F.col("altura"))]
-    found = coded.join(placed, same).select(*keys, F.col("seg").alias("_seg"))
+    asked = points.select(F.col("_code").alias("code"), F.col("_number").alias("altura"), "fallback")
+    placed = place(best_segments(asked, streets), streets).select(
+        F.col("code").alias("_code"), F.col("altura").alias("_number"), F.col("seg").alias("_seg")
+    )
+    # Both look-ups are salted: many spellings may mean one address, many requests one spelling.
+    found = spread_lookup(coded, placed, points, ["_code", "_number"], F.col("_key"), "inner").select(*keys, "_seg")
 
     joined = spread_lookup(rows, found, counts, keys, F.col("req_id"))
     hit = F.col("_valid") & F.coalesce(F.col("_seg.in_range") | F.col("_fallback"), F.lit(False)) & F.col("_seg").isNotNull()

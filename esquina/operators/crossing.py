@@ -47,7 +47,8 @@ def crossing_of_pairs(pairs: DataFrame, intersections: DataFrame) -> DataFrame:
     listed = intersections.select("id", "nums_norm").withColumn("many", F.size(F.array_distinct("nums_norm")))
     usual = (
         listed.filter(F.col("many") <= MAX_PAIRED)
-        .select("id", F.inline(_pairs(F.col("nums_norm"))))
+        .select("id", F.inline_outer(_pairs(F.col("nums_norm"))))
+        .filter(F.col("a").isNotNull())
         .groupBy("a", "b")
         .agg(F.min("id").alias("id"))
         .join(pairs, ["a", "b"])
@@ -67,7 +68,7 @@ def crossing_of_pairs(pairs: DataFrame, intersections: DataFrame) -> DataFrame:
 
 def crossing_point(geom: Column) -> Column:
     """First point of the geometry, else a point on it, in WGS84."""
-    at = F.coalesce(gm.first_point(geom), gm.representative_point(geom))
+    at = gm.representative_point(geom)
     return gm.transform_vertex(at, gm.default_srid(geom["srid"]), gm.WGS84)
 
 

@@ -126,7 +126,7 @@ def substring_pairs(queries: DataFrame, index: NameIndex, k_max: int) -> DataFra
     Where every match of a key scores the same 0.7, only the first ``k_max`` names of
     the key can be among the answers, so the key is cut to them before the join.
     """
-    keyed = index.names.withColumn("key", F.explode(_name_keys(F.col("nnorm"))))
+    keyed = index.names.withColumn("key", F.explode_outer(_name_keys(F.col("nnorm"))))
     by_name = Window.partitionBy("key").orderBy(F.asc_nulls_last("nombre_cal"))
     first_names = (
         keyed.withColumn("_at", F.row_number().over(by_name))
@@ -143,10 +143,10 @@ def substring_pairs(queries: DataFrame, index: NameIndex, k_max: int) -> DataFra
 def similar_pairs(queries: DataFrame, index: NameIndex) -> DataFrame:
     """Pairs over the similarity threshold ``percent`` of the query, each found once."""
     left = queries.withColumn("qn", F.size("qgrams")).withColumn(
-        "gram", F.explode(F.slice("qgrams", F.lit(1), _prefix_length(F.col("qn"), F.col("percent"))))
+        "gram", F.explode_outer(F.slice("qgrams", F.lit(1), _prefix_length(F.col("qn"), F.col("percent"))))
     )
     right = index.names.withColumn("n", F.size("grams")).select(
-        "*", F.posexplode(F.slice("grams", F.lit(1), _prefix_length(F.col("n"), SIMILAR))).alias("at", "gram")
+        "*", F.posexplode_outer(F.slice("grams", F.lit(1), _prefix_length(F.col("n"), SIMILAR))).alias("at", "gram")
     )
     percent = F.col("percent")
     first_shared = F.get(F.array_intersect("qgrams", "grams"), F.lit(0))

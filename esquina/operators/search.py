@@ -8,6 +8,7 @@ text that several requests share is answered once.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,17 +40,20 @@ class SearchIndex:
 
 def street_terms(names: DataFrame) -> DataFrame:
     """Index terms of the street field: (nid, term, pos), one row per occurrence."""
+    # The outer form: for the inner one the optimizer adds a filter that analyses twice.
     return (
         names.withColumn("ws", F.expr(an.street_words("nombre_cal")))
         .withColumn("stream", F.expr(an.query_entries("ws")))
-        .select("nid", F.inline(F.expr(an.edge_grams(an.shingles("stream")))))
+        .select("nid", F.inline_outer(F.expr(an.edge_grams(an.shingles("stream")))))
         .select("nid", "term", "pos")
+        .filter(F.col("term").isNotNull())
     )
 
 
 def plain_terms(names: DataFrame) -> DataFrame:
     """Index terms of the as-you-type field: (nid, term, pos)."""
-    return names.select("nid", F.posexplode(F.expr(an.plain_words("nombre_cal"))).alias("pos", "term"))
+    ws = F.posexplode_outer(F.expr(an.plain_words("nombre_cal"))).alias("pos", "term")
+    return names.select("nid", ws).filter(F.col("term").isNotNull())
 
 
 def build_postings(names: DataFrame) -> DataFrame:
@@ -137,8 +141,8 @@ def fuzzy_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     )
     heads = asked.select("head").distinct()
     near = vocabulary.withColumn("head", F.left("found", F.lit(FUZZY_PREFIX))).join(heads, "head", "left_semi")
-    left = asked.select("term", F.explode(F.expr(_shortened("term"))).alias("form"))
-    right = near.select("found", F.explode(F.expr(_shortened("found"))).alias("form"))
+    left = asked.select("term", F.explode_outer(F.expr(_shortened("term"))).alias("form"))
+    right = near.select("found", F.explode_outer(F.expr(_shortened("found"))).alias("form"))
     pairs = (
         left.join(right, "form")
         .filter(F.abs(F.length("term") - F.length("found")) <= edit_budget(F.col("term")))
@@ -170,25 +174,38 @@ def field_stats(postings: DataFrame) -> dict[str, tuple[int, float]]:
     return {r["field"]: (r["n"], r["length"] / r["n"]) for r in rows}
 
 
-def weighted_postings(postings: DataFrame, field: str, terms: DataFrame, stats: dict) -> DataFrame:
-    """Postings of the wanted terms with their BM25 weight."""
+@dataclass
+class Weighted:
+    """Postings of some terms with their BM25 weight, and how many rows a term has."""
+
+    rows: DataFrame
+    sizes: DataFrame
+
+    def of(self, asked: DataFrame, key: str = "term") -> DataFrame:
+        """Joined to query rows by term. A term of very many names is spread over tasks."""
+        rows, sizes = (df.withColumnRenamed("term", key) for df in (self.rows, self.sizes))
+        return spread_lookup(rows, asked, sizes, [key], F.col("nid"), "inner")
+
+
+def weighted_postings(postings: DataFrame, field: str, terms: DataFrame, stats: dict) -> Weighted:
     total, mean = stats.get(field, (1, 1.0))
     kept = postings.filter(F.col("field") == field).join(terms, "term", "left_semi")
-    spread = kept.groupBy("term").agg(F.sum("docs").alias("docs_with"))
-    return (
-        kept.join(spread, "term")
+    sizes = settle(kept.groupBy("term").agg(F.sum("docs").alias("docs_with"), F.count(F.lit(1)).alias("n")), "term-sizes")
+    rows = (
+        spread_lookup(kept, sizes.drop("n"), sizes, ["term"], F.col("nid"))
         .withColumn("idf", idf(F.col("docs_with"), F.lit(total)))
         .withColumn("mean", F.lit(float(mean)))
         .withColumn("weight", F.col("idf") * saturation(F.col("tf"), F.col("dl"), F.col("mean")))
         .select("term", "nid", "tf", "at", "dl", "mean", "idf", "weight")
     )
+    return Weighted(settle(rows, "term-weights"), sizes)
 
 
-def phrase_scores(entries: DataFrame, weighted: DataFrame) -> DataFrame:
+def phrase_scores(entries: DataFrame, weighted: Weighted) -> DataFrame:
     """Names that hold all query positions in order within the slop; tighter is better."""
     need = entries.groupBy("qid").agg(F.count_distinct("pos").alias("need"))
     hits = (
-        entries.join(weighted, "term")
+        weighted.of(entries)
         .select("qid", "nid", "term", "pos", "idf", "dl", "mean", F.explode("at").alias("dpos"))
         .withColumn("delta", F.col("dpos") - F.col("pos"))
     )
@@ -235,32 +252,34 @@ def _prefix_keys(postings: DataFrame) -> DataFrame:
     return street.unionByName(plain)
 
 
-def prefix_scores(tokens: DataFrame, weighted: DataFrame, postings: DataFrame) -> DataFrame:
+def prefix_scores(tokens: DataFrame, weighted: dict[str, Weighted], postings: DataFrame) -> DataFrame:
     """All words but the last exactly, the last as a beginning; the better field counts.
 
-    ``tokens`` is (field, qid, pos, term, last), ``weighted`` has the column field.
+    ``tokens`` is (field, qid, pos, term, last).
     """
-    exact = (
-        tokens.filter(~F.col("last")).join(weighted, ["field", "term"]).select("field", "qid", "nid", "weight")
-    )
-    asked = tokens.filter("last").select("field", "qid", F.col("term").alias("key"))
+    parts = []
+    for field, w in weighted.items():
+        exact = tokens.filter((F.col("field") == field) & ~F.col("last")).select("qid", "pos", "term")
+        parts.append(w.of(exact).select(F.lit(field).alias("field"), "qid", "nid", "weight"))
+    asked = tokens.filter("last").select("field", "qid", F.col("term").alias("key")).distinct()
     wanted = asked.select("field", "key").distinct()
-    keys = _prefix_keys(postings).join(wanted, ["field", "key"], "left_semi").distinct()
-    begun = asked.join(keys, ["field", "key"]).select("field", "qid", "nid").distinct().withColumn("weight", F.lit(1.0))
+    keys = settle(_prefix_keys(postings).join(wanted, ["field", "key"], "left_semi").distinct(), "beginnings")
+    sizes = settle(keys.groupBy("field", "key").agg(F.count(F.lit(1)).alias("n")), "beginning-sizes")
+    begun = spread_lookup(keys, asked, sizes, ["field", "key"], F.col("nid"), "inner")
+    parts.append(begun.select("field", "qid", "nid").distinct().withColumn("weight", F.lit(1.0)))
     return (
-        exact.unionByName(begun)
+        reduce(DataFrame.unionByName, parts)
         .groupBy("field", "qid", "nid").agg(F.sum("weight").alias("score"))
         .groupBy("qid", "nid").agg((F.max("score") * PREFIX_BOOST).alias("score"))
     )
 
 
-def fuzzy_scores(entries: DataFrame, expansions: DataFrame, weighted: DataFrame) -> DataFrame:
+def fuzzy_scores(entries: DataFrame, expansions: DataFrame, weighted: Weighted) -> DataFrame:
     """Per query word the best index term within its edit budget, summed over the words."""
     near = F.least(F.length("term"), F.length("found"))
     scaled = expansions.withColumn("scale", 1.0 - F.col("edits") / near).filter(F.col("scale") > 0)
     per_word = (
-        entries.join(scaled, "term")
-        .join(weighted.select(F.col("term").alias("found"), "nid", "weight"), "found")
+        weighted.of(entries.join(scaled, "term").select("qid", "pos", "found", "term", "scale"), "found")
         .groupBy("qid", "nid", "pos", "term").agg(F.max(F.col("weight") * F.col("scale")).alias("best"))
     )
     return per_word.groupBy("qid", "nid").agg((F.sum("best") * FUZZY_BOOST).alias("score"))
@@ -273,8 +292,7 @@ class ClauseInputs:
     entries: DataFrame
     tokens: DataFrame
     expansions: DataFrame
-    street: DataFrame
-    weighted: DataFrame
+    weighted: dict[str, Weighted]
     stats: dict[str, tuple[int, float]]
 
 
@@ -295,19 +313,20 @@ def clause_inputs(texts: DataFrame, index: SearchIndex) -> ClauseInputs:
     vocabulary = index.postings.filter(F.col("field") == STREET).select(F.col("term").alias("found")).distinct()
     expansions = settle(fuzzy_terms(terms, vocabulary), "fuzzy-terms")
     found = expansions.select(F.col("found").alias("term")).distinct()
-    street = settle(weighted_postings(index.postings, STREET, found, stats), "street-weights")
     plain_asked = tokens.filter(F.col("field") == PLAIN).select("term").distinct()
-    plain_weights = weighted_postings(index.postings, PLAIN, plain_asked, stats)
-    weighted = street.withColumn("field", F.lit(STREET)).unionByName(plain_weights.withColumn("field", F.lit(PLAIN)))
-    return ClauseInputs(entries, tokens, expansions, street, weighted, stats)
+    weighted = {
+        STREET: weighted_postings(index.postings, STREET, found, stats),
+        PLAIN: weighted_postings(index.postings, PLAIN, plain_asked, stats),
+    }
+    return ClauseInputs(entries, tokens, expansions, weighted, stats)
 
 
 def score_names(parts: ClauseInputs, index: SearchIndex) -> DataFrame:
     """(qid, nid, score) of every name that at least one clause matches."""
     clauses = (
-        phrase_scores(parts.entries, parts.street)
+        phrase_scores(parts.entries, parts.weighted[STREET])
         .unionByName(prefix_scores(parts.tokens, parts.weighted, index.postings))
-        .unionByName(fuzzy_scores(parts.entries, parts.expansions, parts.street))
+        .unionByName(fuzzy_scores(parts.entries, parts.expansions, parts.weighted[STREET]))
     )
     return clauses.groupBy("qid", "nid").agg(F.round(F.sum("score"), 6).alias("score"))
 

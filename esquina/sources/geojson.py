@@ -74,17 +74,14 @@ def read_geojson(
     read = {"collection": _features_of_collections, "lines": _features_of_lines}[layout]
     features = read(spark, path)
     own_id = F.coalesce(F.col("feature.id"), F.get_json_object("feature.properties", "$.id"))
-    placed = gm.parse_geojson(F.col("feature.geometry"), src)
-    stored = gm.reproject(placed, src, dst)
-    if promote:
-        stored = gm.promote_multi(stored)
+    stored = gm.reproject(F.col("geom"), src, dst)
     parsed = features.select(
         "raw",
         F.coalesce(own_id.try_cast("long"), F.col("at")).alias("id"),
         F.from_json("feature.properties", schema).alias("props"),
         F.col("feature.properties").alias("properties"),
-        stored.alias("geom"),
-    )
+        gm.parse_geojson(F.col("feature.geometry"), src).alias("geom"),
+    ).withColumn("geom", gm.let(stored, gm.promote_multi) if promote else stored)
     reason = F.when(F.col("geom").isNull(), F.lit("geometry")).when(F.col("id").isNull(), F.lit("id"))
     checked = parsed.withColumn("reason", reason)
     if on_error == "fail":
