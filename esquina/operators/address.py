@@ -20,6 +20,9 @@ from esquina.operators.stage import settle
 NOT_FOUND = "Sin coincidencias en el rango/paridad."
 UNMERGEABLE, UNSUPPORTED = "unmergeable_geometry", "unsupported_crs"
 
+# Stands for a missing house number in join keys.
+NO_NUMBER = -(1 << 40)
+
 FIELDS = [
     "success", "numero_cal", "nombre_cal", "altura", "paridad",
     "min_par", "max_par", "min_impar", "max_impar", "min_rango", "max_rango",
@@ -72,11 +75,24 @@ def best_segments(points: DataFrame, streets: DataFrame) -> DataFrame:
         F.inline_outer(rg.pieces_of_number("altura", "fallback")),
     )
     met = asked.join(best_blocks(streets), ["code", "even", "level", "block"])
-    outside = F.col("level") == rg.ANY_NUMBER
-    return (
-        met.groupBy("code", "altura")
-        .agg(F.min(F.struct(outside.alias("outside"), F.col("best"))).alias("pick"))
-        .select("code", "altura", (~F.col("pick.outside")).alias("in_range"), F.col("pick.best.id").alias("id"))
+    # A number meets at most one row per level, so that taking it by level keeps the
+    # aggregation on plain numbers, which Spark hashes; structs it would sort.
+    levels = [*range(rg.LEVELS), rg.ANY_NUMBER]
+    by_level = [
+        F.max(F.when(F.col("level") == level, F.col(f"best.{field}"))).alias(f"{field}{i}")
+        for i, level in enumerate(levels)
+        for field in ("width", "id")
+    ]
+
+    def one(i: int) -> Column:
+        row = F.struct(
+            F.lit(levels[i] == rg.ANY_NUMBER).alias("outside"), F.col(f"width{i}").alias("width"), F.col(f"id{i}").alias("id")
+        )
+        return F.when(F.col(f"id{i}").isNotNull(), row)
+
+    picked = met.groupBy("code", "altura").agg(*by_level)
+    return picked.withColumn("pick", F.least(*[one(i) for i in range(len(levels))])).select(
+        "code", "altura", (~F.col("pick.outside")).alias("in_range"), F.col("pick.id").alias("id")
     )
 
 
@@ -84,12 +100,15 @@ def place(picked: DataFrame, streets: DataFrame) -> DataFrame:
     """(code, altura) with the chosen segment and its point in the struct ``seg``."""
     even = rg.is_even(F.col("altura"))
     payload = with_bounds(streets).select(
-        "id", "numero_cal", "nombre_cal", "min_par", "max_par", "min_impar", "max_impar", "geom"
+        "id", "numero_cal", "nombre_cal", "min_par", "max_par", "min_impar", "max_impar",
+        F.col("geom").isNotNull().alias("has_geom"),
+        F.col("geom.srid").alias("srid"),
+        gm.merge_lines(gm.line_parts(F.col("geom"))).alias("line"),
     )
-    srid = F.col("geom.srid")
+    srid = F.col("srid")
     at = gm.interpolate(F.col("line"), rg.position(F.col("altura"), F.col("min_rango"), F.col("max_rango")))
     status = (
-        F.when(F.col("geom").isNull(), F.lit(checks.OK))
+        F.when(~F.col("has_geom"), F.lit(checks.OK))
         .when(F.col("line").isNull(), F.lit(UNMERGEABLE))
         .when(~gm.transformable(srid, gm.WGS84), F.lit(UNSUPPORTED))
         .otherwise(F.lit(checks.OK))
@@ -98,7 +117,6 @@ def place(picked: DataFrame, streets: DataFrame) -> DataFrame:
         picked.join(payload, "id")
         .withColumn("min_rango", F.when(even, F.col("min_par")).otherwise(F.col("min_impar")))
         .withColumn("max_rango", F.when(even, F.col("max_par")).otherwise(F.col("max_impar")))
-        .withColumn("line", gm.merge_lines(gm.line_parts(F.col("geom"))))
         .select(
             "code",
             "altura",
@@ -133,7 +151,7 @@ def attach_addresses(requests: DataFrame, streets: DataFrame, validate: bool = T
             "_valid": valid,
             "_by_code": code_in.isNotNull(),
             "_key": street_key(code_in, street),
-            "_number": F.col("altura").cast("int"),
+            "_number": F.coalesce(F.col("altura").cast("long"), F.lit(NO_NUMBER)),
             "_fallback": fallback,
         }
     )
@@ -156,9 +174,12 @@ def attach_addresses(requests: DataFrame, streets: DataFrame, validate: bool = T
         coded.groupBy("_code", "_number").agg(F.max("fallback").alias("fallback"), F.count(F.lit(1)).alias("n")),
         "address-points",
     )
-    asked = points.select(F.col("_code").alias("code"), F.col("_number").alias("altura"), "fallback")
+    number = F.when(F.col("_number") != NO_NUMBER, F.col("_number"))
+    asked = points.select(F.col("_code").alias("code"), number.alias("altura"), "fallback")
     placed = place(best_segments(asked, streets), streets).select(
-        F.col("code").alias("_code"), F.col("altura").alias("_number"), F.col("seg").alias("_seg")
+        F.col("code").alias("_code"),
+        F.coalesce("altura", F.lit(NO_NUMBER)).alias("_number"),
+        F.col("seg").alias("_seg"),
     )
     # Both look-ups are salted: many spellings may mean one address, many requests one spelling.
     found = spread_lookup(coded, placed, points, ["_code", "_number"], F.col("_key"), "inner").select(*keys, "_seg")
@@ -176,8 +197,8 @@ def attach_addresses(requests: DataFrame, streets: DataFrame, validate: bool = T
         F.when(good, F.lit(True)).alias("success"),
         held("numero_cal"),
         held("nombre_cal"),
-        F.col("_number").alias("altura"),
-        tx.parity_label(F.col("_number")).alias("paridad"),
+        number.cast("int").alias("altura"),
+        tx.parity_label(number).alias("paridad"),
         *[held(c) for c in ("min_par", "max_par", "min_impar", "max_impar", "min_rango", "max_rango")],
         lat.alias("lat"),
         lon.alias("lon"),

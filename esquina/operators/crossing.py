@@ -9,7 +9,7 @@ from esquina.functions import checks, geometry as gm
 from esquina.functions import text as tx
 from esquina.operators.address import UNSUPPORTED
 from esquina.operators.names import resolve_streets
-from esquina.operators.skew import spread_lookup
+from esquina.operators.skew import hot_rows, spread_lookup
 from esquina.operators.stage import settle
 
 # Fixed value: answer text.
@@ -93,8 +93,11 @@ def attach_crossings(
         resolve_streets(texts, streets).select("q", tx.norm_code(F.col("code")).alias("code")), "crossing-codes"
     )
 
+    may_be_hot = counts.count() > hot_rows(counts)
+
     def with_code(df: DataFrame, key: str, other: str, name: str) -> DataFrame:
-        sizes = counts.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+        # One street may be part of very many of the pairs.
+        sizes = counts.groupBy(key).agg(F.count(F.lit(1)).alias("n")) if may_be_hot else None
         table = resolved.select(F.col("q").alias(key), F.col("code").alias(name))
         return spread_lookup(df, table, sizes, [key], F.col(other))
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from esquina.functions import checks
 from esquina.functions import text as tx
-from esquina.operators.skew import spread_lookup
+from esquina.operators.skew import hot_rows, spread_lookup
 from esquina.operators.stage import settle
 
 # Fixed value: number of suggestions when the request gives none.
@@ -41,6 +41,15 @@ class NameIndex:
 
     names: DataFrame
     common: list[str]
+    size: int
+
+    def spread(self, keyed: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+        """Names joined to queries by a slice; one that very many names have is salted."""
+        # A slice has at most one row per name.
+        counts = None
+        if self.size > hot_rows(keyed):
+            counts = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+        return spread_lookup(keyed, asked, counts, [key], F.col("nnorm"), "inner")
 
 
 def _strings(values: list[str]) -> Column:
@@ -64,7 +73,7 @@ def name_index(streets: DataFrame) -> NameIndex:
     counted = names.select(F.explode("grams").alias("g")).groupBy("g").count()
     top = counted.orderBy(F.desc("count"), "g").limit(COMMON_GRAMS).collect()
     common = [r["g"] for r in sorted(top, key=lambda r: (r["count"], r["g"]))]
-    return NameIndex(names.withColumn("grams", _gram_order(F.col("grams"), common)), common)
+    return NameIndex(names.withColumn("grams", _gram_order(F.col("grams"), common)), common, names.count())
 
 
 def _least(n: Column, percent: Column | int) -> Column:
@@ -136,7 +145,7 @@ def substring_pairs(queries: DataFrame, index: NameIndex, k_max: int) -> DataFra
     asked = queries.withColumn("key", F.explode("keys")).drop("keys")
     is_long = F.col("key") == f"length {LONG_NAME}"
     alike = asked.filter(F.col("cut") & ~is_long).join(first_names, "key")
-    other = asked.filter(~F.col("cut") | is_long).join(keyed, "key")
+    other = index.spread(keyed, asked.filter(~F.col("cut") | is_long), "key")
     return _pair_scores(alike.unionByName(other).drop("key")).filter("is_like")
 
 
@@ -150,7 +159,7 @@ def similar_pairs(queries: DataFrame, index: NameIndex) -> DataFrame:
     )
     percent = F.col("percent")
     first_shared = F.get(F.array_intersect("qgrams", "grams"), F.lit(0))
-    pairs = left.join(right, "gram").filter(
+    pairs = index.spread(right, left, "gram").filter(
         (F.col("n") * 100 >= F.col("qn") * percent)
         & (F.col("qn") * 100 >= F.col("n") * percent)
         & (F.col("at") < _prefix_length(F.col("n"), percent))

@@ -16,34 +16,35 @@ def hot_rows(df: DataFrame) -> int:
 
 
 def spread_lookup(
-    rows: DataFrame, table: DataFrame, counts: DataFrame, keys: list[str], row_id: Column, how: str = "left"
+    rows: DataFrame, table: DataFrame, counts: DataFrame | None, keys: list[str], row_id: Column, how: str = "left"
 ) -> DataFrame:
-    """``rows`` joined to ``table`` on ``keys`` (nulls match), hot keys salted.
+    """``rows`` joined to ``table`` on ``keys``, which are not null, with hot keys salted.
 
     ``counts`` is a settled table: one row per key of ``rows`` with the row count in ``n``.
     Rows of a key with more than ``spark.esquina.hotRows`` rows are spread over as many salts as needed
     and the table rows of that key are repeated once per salt; the result is the same as
-    that of a plain join. The list of hot keys is broadcast: at most 4096 rows.
+    that of a plain join. The list of hot keys is broadcast: at most 4096 rows. Without
+    ``counts`` the caller knows that no key is hot.
     """
+    table_names = [f"_table_{k}" for k in keys]
+    renamed = table.select(
+        *[F.col(k).alias(n) for k, n in zip(keys, table_names)], *[c for c in table.columns if c not in keys]
+    )
     per_task = hot_rows(rows)
+    if counts is None or counts.filter(F.col("n") > per_task).isEmpty():
+        same = [F.col(k) == F.col(n) for k, n in zip(keys, table_names)]
+        return rows.join(renamed, same, how).drop(*table_names)
+
     hot = (
         counts.filter(F.col("n") > per_task)
         .orderBy(F.desc("n"), *keys)
         .limit(MAX_HOT_KEYS)
         .select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.ceil(F.col("n") / per_task).alias("_fan"))
     )
-    table_names = [f"_table_{k}" for k in keys]
-    renamed = table.select(
-        *[F.col(k).alias(n) for k, n in zip(keys, table_names)], *[c for c in table.columns if c not in keys]
-    )
-    if counts.filter(F.col("n") > per_task).isEmpty():
-        same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, table_names)]
-        return rows.join(renamed, same, how).drop(*table_names)
-
     hot_names = [f"_hot_{k}" for k in keys]
 
     def with_fan(df: DataFrame, names: list[str]) -> DataFrame:
-        same = [F.col(n).eqNullSafe(F.col(h)) for n, h in zip(names, hot_names)]
+        same = [F.col(n) == F.col(h) for n, h in zip(names, hot_names)]
         return df.join(F.broadcast(hot), same, "left").drop(*hot_names)
 
     salt = F.when(F.col("_fan") > 1, F.pmod(F.xxhash64(row_id), F.col("_fan"))).otherwise(F.lit(0))
@@ -52,5 +53,5 @@ def spread_lookup(
     salts = F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_fan") - 1, F.lit(0)).cast("long"))
     repeated = with_fan(renamed, table_names).withColumn("_table_salt", F.explode(salts)).drop("_fan")
 
-    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip([*keys, "_salt"], [*table_names, "_table_salt"])]
+    same = [F.col(k) == F.col(n) for k, n in zip([*keys, "_salt"], [*table_names, "_table_salt"])]
     return salted.join(repeated, same, how).drop(*table_names, "_salt", "_table_salt")

@@ -84,12 +84,13 @@ def read_geojson(
     ).withColumn("geom", gm.let(stored, gm.promote_multi) if promote else stored)
     reason = F.when(F.col("geom").isNull(), F.lit("geometry")).when(F.col("id").isNull(), F.lit("id"))
     checked = parsed.withColumn("reason", reason)
+    rejects = checked.filter(F.col("reason").isNotNull()).select("raw", "reason")
     if on_error == "fail":
-        checked = checked.withColumn(
-            "id", F.when(F.col("reason").isNotNull(), F.raise_error(F.concat(F.lit("bad feature: "), "raw"))).otherwise(F.col("id"))
-        )
-    rows = checked.filter(F.col("reason").isNull()).select("id", "props.*", "properties", "geom")
-    return Loaded(rows, checked.filter(F.col("reason").isNotNull()).select("raw", "reason"))
+        bad = F.raise_error(F.concat(F.lit("bad feature: "), F.col("raw")))
+        rows = checked.withColumn("id", F.when(F.col("reason").isNotNull(), bad).otherwise(F.col("id")))
+    else:
+        rows = checked.filter(F.col("reason").isNull())
+    return Loaded(rows.select("id", "props.*", "properties", "geom"), rejects)
 
 
 def feature_lines(df: DataFrame, lon: str, lat: str) -> DataFrame:
