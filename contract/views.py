@@ -93,12 +93,6 @@ SELECT event_id AS req_id, ts, p_name AS calle, CAST(event_id * 13 % 4000 AS INT
 FROM events JOIN part ON p_partkey = user_id
 """
 
-# Every line of every document, as one street name each.
-NAME_LINES = """
-SELECT doc_id * 1000000 + CAST(at AS BIGINT) AS id, CAST(doc_id AS STRING) AS numero_cal, line AS nombre_cal
-"""
-
-
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

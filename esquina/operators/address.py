@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from esquina.functions import checks, geometry as gm, ranges as rg
 from esquina.functions import text as tx
 from esquina.operators.names import resolve_streets
-from esquina.operators.skew import spread_lookup
+from esquina.operators.skew import hot_rows, spread_lookup
 from esquina.operators.stage import settle
 
 # Answer texts.
@@ -170,10 +170,10 @@ def attach_addresses(requests: DataFrame, streets: DataFrame, validate: bool = T
         F.when(F.col("_by_code"), F.col("_key")).otherwise(tx.norm_code(F.col("resolved"))).alias("_code"),
     )
     coded = settle(looked, "address-codes")
-    points = settle(
-        coded.groupBy("_code", "_number").agg(F.max("fallback").alias("fallback"), F.count(F.lit(1)).alias("n")),
-        "address-points",
-    )
+    points = coded.groupBy("_code", "_number").agg(F.max("fallback").alias("fallback"), F.count(F.lit(1)).alias("n"))
+    may_be_hot = coded.count() > hot_rows(coded)
+    if may_be_hot:
+        points = settle(points, "address-points")
     number = F.when(F.col("_number") != NO_NUMBER, F.col("_number"))
     asked = points.select(F.col("_code").alias("code"), number.alias("altura"), "fallback")
     placed = place(best_segments(asked, streets), streets).select(
@@ -182,7 +182,8 @@ def attach_addresses(requests: DataFrame, streets: DataFrame, validate: bool = T
         F.col("seg").alias("_seg"),
     )
     # Both look-ups are salted: many spellings may mean one address, many requests one spelling.
-    found = spread_lookup(coded, placed, points, ["_code", "_number"], F.col("_key"), "inner").select(*keys, "_seg")
+    sizes = points if may_be_hot else None
+    found = spread_lookup(coded, placed, sizes, ["_code", "_number"], F.col("_key"), "inner").select(*keys, "_seg")
 
     joined = spread_lookup(rows, found, counts, keys, F.col("req_id"))
     hit = F.col("_valid") & F.coalesce(F.col("_seg.in_range") | F.col("_fallback"), F.lit(False)) & F.col("_seg").isNotNull()

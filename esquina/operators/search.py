@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from esquina.functions import analysis as an
 from esquina.functions import checks
-from esquina.operators.skew import spread_lookup
+from esquina.operators.skew import hot_rows, spread_lookup
 from esquina.operators.stage import settle
 
 # Weights of the three clauses, phrase slop, fuzzy prefix, answer sizes.
@@ -37,6 +37,10 @@ class SearchIndex:
     postings: DataFrame
     documents: DataFrame
 
+    def crowded(self) -> bool:
+        """Whether there are enough names for one term to have too many for one task."""
+        return self.names.count() > hot_rows(self.names)
+
 
 def street_terms(names: DataFrame) -> DataFrame:
     """Index terms of the street field: (nid, term, pos), one row per occurrence."""
@@ -176,23 +180,29 @@ def field_stats(postings: DataFrame) -> dict[str, tuple[int, float]]:
 
 @dataclass
 class Weighted:
-    """Postings of some terms with their BM25 weight, and how many rows a term has."""
+    """Postings of some terms with their BM25 weight, and how many rows a term has.
+
+    Without sizes no term has many.
+    """
 
     rows: DataFrame
-    sizes: DataFrame
+    sizes: DataFrame | None
 
     def of(self, asked: DataFrame, key: str = "term") -> DataFrame:
         """Joined to query rows by term. A term of very many names is spread over tasks."""
-        rows, sizes = (df.withColumnRenamed("term", key) for df in (self.rows, self.sizes))
-        return spread_lookup(rows, asked, sizes, [key], F.col("nid"), "inner")
+        sizes = None if self.sizes is None else self.sizes.withColumnRenamed("term", key)
+        return spread_lookup(self.rows.withColumnRenamed("term", key), asked, sizes, [key], F.col("nid"), "inner")
 
 
-def weighted_postings(postings: DataFrame, field: str, terms: DataFrame, stats: dict) -> Weighted:
+def weighted_postings(
+    postings: DataFrame, field: str, terms: DataFrame, stats: dict, crowded: bool = True
+) -> Weighted:
     total, mean = stats.get(field, (1, 1.0))
     kept = postings.filter(F.col("field") == field).join(terms, "term", "left_semi")
-    sizes = settle(kept.groupBy("term").agg(F.sum("docs").alias("docs_with"), F.count(F.lit(1)).alias("n")), "term-sizes")
+    spread = kept.groupBy("term").agg(F.sum("docs").alias("docs_with"), F.count(F.lit(1)).alias("n"))
+    sizes = settle(spread, "term-sizes") if crowded else None
     rows = (
-        spread_lookup(kept, sizes.drop("n"), sizes, ["term"], F.col("nid"))
+        spread_lookup(kept, (spread if sizes is None else sizes).drop("n"), sizes, ["term"], F.col("nid"))
         .withColumn("idf", idf(F.col("docs_with"), F.lit(total)))
         .withColumn("mean", F.lit(float(mean)))
         .withColumn("weight", F.col("idf") * saturation(F.col("tf"), F.col("dl"), F.col("mean")))
@@ -263,8 +273,11 @@ def prefix_scores(tokens: DataFrame, weighted: dict[str, Weighted], postings: Da
         parts.append(w.of(exact).select(F.lit(field).alias("field"), "qid", "nid", "weight"))
     asked = tokens.filter("last").select("field", "qid", F.col("term").alias("key")).distinct()
     wanted = asked.select("field", "key").distinct()
-    keys = settle(_prefix_keys(postings).join(wanted, ["field", "key"], "left_semi").distinct(), "beginnings")
-    sizes = settle(keys.groupBy("field", "key").agg(F.count(F.lit(1)).alias("n")), "beginning-sizes")
+    keys = _prefix_keys(postings).join(wanted, ["field", "key"], "left_semi").distinct()
+    sizes = None
+    if weighted[STREET].sizes is not None:
+        keys = settle(keys, "beginnings")
+        sizes = settle(keys.groupBy("field", "key").agg(F.count(F.lit(1)).alias("n")), "beginning-sizes")
     begun = spread_lookup(keys, asked, sizes, ["field", "key"], F.col("nid"), "inner")
     parts.append(begun.select("field", "qid", "nid").distinct().withColumn("weight", F.lit(1.0)))
     return (
@@ -314,9 +327,10 @@ def clause_inputs(texts: DataFrame, index: SearchIndex) -> ClauseInputs:
     expansions = settle(fuzzy_terms(terms, vocabulary), "fuzzy-terms")
     found = expansions.select(F.col("found").alias("term")).distinct()
     plain_asked = tokens.filter(F.col("field") == PLAIN).select("term").distinct()
+    crowded = index.crowded()
     weighted = {
-        STREET: weighted_postings(index.postings, STREET, found, stats),
-        PLAIN: weighted_postings(index.postings, PLAIN, plain_asked, stats),
+        STREET: weighted_postings(index.postings, STREET, found, stats, crowded),
+        PLAIN: weighted_postings(index.postings, PLAIN, plain_asked, stats, crowded),
     }
     return ClauseInputs(entries, tokens, expansions, weighted, stats)
 
