@@ -1,13 +1,6 @@
 """DuckDB SQL fragments for the oracles: plain brute force, no engine tricks."""
 
 from __future__ import annotations
-
-import pathlib
-import zipfile
-from functools import lru_cache
-
-import pyspark
-
 from contract import views as v
 from esquina.functions import analysis as an
 from esquina.functions import text as tx
@@ -148,16 +141,6 @@ def to_lat(y: str) -> str:
 
 # --- analysis --------------------------------------------------------------
 
-@lru_cache(maxsize=1)
-def spanish() -> list[str]:
-    """The stop word list out of the Spark distribution, without a running session."""
-    jars = pathlib.Path(pyspark.__file__).parent / "jars"
-    jar = next(jars.glob("spark-mllib_*.jar"))
-    with zipfile.ZipFile(jar) as z:
-        text = z.read("org/apache/spark/ml/feature/stopwords/spanish.txt").decode()
-    return [w for w in text.splitlines() if w]
-
-
 def html_strip(s: str) -> str:
     for p in (r"(?is)<script\b[^>]*>.*?</script\s*>", r"(?is)<style\b[^>]*>.*?</style\s*>", r"(?s)<!--.*?-->"):
         s = f"regexp_replace({s}, {q(p)}, ' ', 'g')"
@@ -195,7 +178,7 @@ def entries(source: str, key: str, text: str, prefix: str = "") -> list[tuple[st
     """CTEs up to ``{prefix}stream(key, pos, ord, term)`` with stop words dropped."""
     p = prefix
     numbers = ", ".join(f"('{n}', '{w}'), ('{w}', '{n}')" for n, w in enumerate(an.NUMBER_WORDS, start=1))
-    stop = words_in(sorted({*an.HONORIFICS, *an.CONNECTORS, *spanish()}))
+    stop = words_in(sorted({*an.HONORIFICS, *an.CONNECTORS, *an.spanish_stop_words()}))
     return [
         (f"{p}split", f"SELECT {key} AS k, {street_words(text)} AS ws FROM {source}"),
         (f"{p}tok", f"SELECT k, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS pos FROM {p}split"),

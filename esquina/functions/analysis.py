@@ -10,8 +10,6 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.ml.feature import StopWordsRemover
-
 from esquina.functions.text import fold_sql
 
 # Private-use characters around what an abbreviation rule matched.
@@ -151,9 +149,40 @@ def _is_number(w: str) -> str:
     return f"{w} IN ({', '.join(map(quoted, known))})"
 
 
+# The Spanish stop words that the analysis chain names, without the verb forms below.
+SPANISH_WORDS = (
+    "de la que el en y a los del se las por un para con no una su al lo como más pero sus le ya o este sí porque "
+    "esta entre cuando muy sin sobre también me hasta hay donde quien desde todo nos durante todos uno les ni contra "
+    "otros ese eso ante ellos e esto mí antes algunos qué unos yo otro otras otra él tanto esa estos mucho quienes "
+    "nada muchos cual poco ella estar estas algunas algo nosotros mi mis tú te ti tu tus ellas nosotras vosostros "
+    "vosostras os mío mía míos mías tuyo tuya tuyos tuyas suyo suya suyos suyas nuestro nuestra nuestros nuestras "
+    "vuestro vuestra vuestros vuestras esos esas"
+).split()
+# Stem and endings of the conjugated auxiliaries in the same list.
+SPANISH_VERBS = (
+    ("est", "oy ás á amos áis án é és emos éis én ando ado ada ados adas ad"),
+    ("estar", "é ás á emos éis án ía ías íamos íais ían"),
+    ("est", "aba abas ábamos abais aban"),
+    ("h", "e as a emos an"), ("hab", "éis iendo ido ida idos idas"),
+    ("hay", "a as amos áis an"), ("habr", "é ás á emos éis án ía ías íamos íais ían"), ("hab", "ía ías íamos íais ían"),
+    ("", "soy eres es somos sois son eras éramos erais era eran"), ("se", "a as amos áis an"),
+    ("ser", "é ás á emos éis án ía ías íamos íais ían"),
+    ("f", "ui uiste ue uimos uisteis ueron uera ueras uéramos uerais ueran uese ueses uésemos ueseis uesen"),
+    ("s", "intiendo entido entida entidos entidas iente entid"),
+    ("t", "engo ienes iene enemos enéis ienen eniendo enido enida enidos enidas ened"),
+    ("teng", "a as amos áis an"), ("tendr", "é ás á emos éis án ía ías íamos íais ían"), ("ten", "ía ías íamos íais ían"),
+)
+SPANISH_PAST_STEMS = ("estuv", "hub", "tuv")
+SPANISH_PAST = (
+    "e iste o imos isteis ieron iera ieras iéramos ierais ieran iese ieses iésemos ieseis iesen"
+).split()
+
+
 @lru_cache(maxsize=1)
 def spanish_stop_words() -> tuple[str, ...]:
-    return tuple(StopWordsRemover.loadDefaultStopWords("spanish"))
+    verbs = [stem + end for stem, ends in SPANISH_VERBS for end in ends.split()]
+    past = [stem + end for stem in SPANISH_PAST_STEMS for end in SPANISH_PAST]
+    return (*SPANISH_WORDS, *verbs, *past)
 
 
 def without(entries: str, stop: list[str]) -> str:

@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -28,3 +32,17 @@ def test_query_agrees_with_its_sql(spark, con, name):
 
 def test_every_oracle_has_a_query():
     assert set(contract.oracle_sql()) <= set(contract.queries())
+
+
+def test_contract_imports_without_the_jars(tmp_path):
+    code = (
+        "import pyspark, pathlib\n"
+        f"pyspark.__file__ = {str(tmp_path / '__init__.py')!r}\n"
+        "import __spark_entry__ as e\n"
+        "from pyspark.sql import SparkSession\n"
+        "assert SparkSession.getActiveSession() is None\n"
+        "assert len(e.oracle_sql()) >= 70 and set(e.oracle_sql()) <= set(e.queries())\n"
+    )
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
