@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from esquina.llm import quality
+from esquina.llm import bpe, packing, quality, wavelet
+from esquina.llm.ship import ship
+from esquina.operators.stage import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +28,7 @@ def query(name: str, sql: str | None = None):
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -56,3 +61,22 @@ q_bits AS (SELECT *, CAST({' + '.join(f"CASE WHEN {r.fails} THEN {r.mask} ELSE 0
 )
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(quality.ledger(read(spark, sf_dir, "documents")))
+
+
+@query("op2_byte_bpe")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.digests(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+@query("op4_best_fit_packing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack_documents(read(spark, sf_dir, "documents"), vocabulary, spaced=False)
+
+
+@query("op7_token_wavelet")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/token-shards-{uuid.uuid4().hex}"
+    wavelet.write_shards(read(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return wavelet.document_rows(wavelet.read_shards(spark, folder))
