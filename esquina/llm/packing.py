@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from esquina.llm.batches import id_and_text
-from esquina.llm.vocab import unit_ids
+from esquina.llm.vocab import slices, unit_ids
 from esquina.operators.stage import settle
 
 CAPACITY = 4096
@@ -32,7 +32,7 @@ def token_pieces(docs: DataFrame, path: str, spaced: bool, capacity: int = CAPAC
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = unit_ids(path, spaced)
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             ids, at = coder.encode(b.column("text"))
             rows: list[tuple] = []
             for doc_id, i, j in zip(b.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist()):

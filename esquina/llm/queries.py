@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from esquina.llm import bpe, packing, quality, wavelet
+from esquina.llm import bpe, lines, packing, quality, wavelet
 from esquina.llm.ship import ship
 from esquina.operators.stage import shared_dir
 
@@ -63,6 +63,26 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(quality.ledger(read(spark, sf_dir, "documents")))
 
 
+LINES_SQL = f"""WITH l_split AS (SELECT doc_id, coalesce(source, '') AS site, unnest(string_split(text, chr(10))) AS raw,
+  generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+l_lines AS (SELECT *, trim(raw, concat(' ', chr(9), chr(11), chr(12), chr(13))) AS line FROM l_split),
+l_common AS (SELECT line FROM l_lines WHERE len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) >= {lines.MIN_WORDS}
+  GROUP BY line HAVING count(DISTINCT site) >= {lines.MIN_SITES}),
+l_marked AS (SELECT l.*, c.line IS NOT NULL AS gone FROM l_lines l LEFT JOIN l_common c USING (line)),
+l_docs AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_gone, sum(length(raw)) AS size,
+  coalesce(sum(length(raw)) FILTER (gone), 0) AS gone_size,
+  coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS rest FROM l_marked GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, CASE WHEN 2 * gone_size <= size THEN n_gone ELSE 0 END AS n_removed,
+  CASE WHEN n_gone > 0 AND 2 * gone_size <= size THEN rest ELSE text END AS text
+FROM documents d LEFT JOIN l_docs USING (doc_id)"""
+
+
+@query("op1_line_dedup", LINES_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.remove_common_lines(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", "text")
+
+
 @query("op2_byte_bpe")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")

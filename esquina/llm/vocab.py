@@ -9,14 +9,18 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Units that are kept before the memory starts anew; it only saves time.
-MAX_UNITS = 600_000
+# Units and parts of units that are kept before the memory starts anew; it only saves time.
+MAX_UNITS = 2_000_000
+MAX_PARTS = 400_000
+# Text that is worked on at once, in bytes.
+SLICE = 8 << 20
 # A place that always separates two matches of the pre-tokenizer: a letter before one of these characters.
 LETTER_THEN_SIGN = r"(?<=[A-Za-zÀ-ɏ])(?=[%*#$&|.,;:!?])"
 BEFORE_BLANK = r"(?<=\S)(?=[ \n])"
@@ -42,7 +46,7 @@ class UnitIds:
         self._forget()
 
     def _forget(self) -> None:
-        self.parts: dict[str, np.ndarray] = {}
+        self.parts: dict[str, bytes] = {}
         self.known = pa.array([], pa.string())
         self.flat = np.empty(0, np.uint32)
         self.ends = np.zeros(1, np.int64)
@@ -53,22 +57,25 @@ class UnitIds:
     def _learn(self, parts: set[str]) -> None:
         new = [p for p in parts if p not in self.parts]
         alone = [p for p in new if not self.joinable.fullmatch(p)]
-        self.parts.update(zip(alone, self._raw(alone)))
+        self.parts.update((p, ids.tobytes()) for p, ids in zip(alone, self._raw(alone)))
         rest = [p for p in new if p not in self.parts]
         groups = [rest[i : i + 64] for i in range(0, len(rest), 64)]
         for group, ids in zip(groups, self._raw([self.between.join(g) for g in groups])):
-            at = np.flatnonzero(ids == self.mark)
-            self.parts.update(zip(group, (x if k == 0 else x[1:] for k, x in enumerate(np.split(ids, at)))))
+            ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
+            raw, begin = ids.tobytes(), 0
+            for part, end in zip(group, ends):
+                self.parts[part] = raw[4 * begin : 4 * end]
+                begin = end + 1
 
     def _split(self, unit: str) -> list[str]:
         return self.inside.split(unit)
 
-    def units(self, units: list[str]) -> list[np.ndarray]:
-        """The ids of each unit."""
+    def units(self, units: list[str]) -> list[bytes]:
+        """The ids of each unit, four bytes each."""
         split = [self._split(u) for u in units]
         self._learn({p for parts in split for p in parts})
         get = self.parts.__getitem__
-        return [get(s[0]) if len(s) == 1 else np.concatenate([get(p) for p in s]) for s in split]
+        return [get(s[0]) if len(s) == 1 else b"".join(map(get, s)) for s in split]
 
     def _numbers(self, distinct: pa.Array) -> np.ndarray:
         """The number of each distinct unit among the known ones; unknown units become known."""
@@ -80,10 +87,9 @@ class UnitIds:
                 return self._numbers(distinct)
             lead = " " if self.spaced else ""
             ids = self.units([lead + u for u in missing.to_pylist()])
-            self.flat = np.concatenate([self.flat, *ids])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in ids], dtype=np.int64)])
+            self.flat, self.ends = grown(self.flat, self.ends, ids)
             self.known = pa.concat_arrays([self.known, missing])
-            self.parts = {} if len(self.parts) > MAX_UNITS else self.parts
+            self.parts = {} if len(self.parts) > MAX_PARTS else self.parts
             found = pc.index_in(distinct, value_set=self.known)
         return found.to_numpy(zero_copy_only=False).astype(np.int64)
 
@@ -104,7 +110,7 @@ class UnitIds:
         for i in np.flatnonzero(odd):
             own[i] = self.blank.split(texts[int(i)].as_py())
         ids = iter(self.units([u for us in own for u in us]))
-        lead = [np.concatenate([next(ids) for _ in us]) for us in own]
+        lead = [b"".join([next(ids) for _ in us]) for us in own]
         return self._gather(split, (starts, lead))
 
     def _gather(self, split: pa.ListArray, lead: tuple | None) -> tuple[np.ndarray, np.ndarray]:
@@ -114,14 +120,27 @@ class UnitIds:
         bounds = bounds - bounds[0]
         if lead:
             numbers[lead[0]] = len(ends) - 1 + np.arange(len(lead[1]))
-            flat = np.concatenate([flat, *lead[1]])
-            ends = np.concatenate([ends, ends[-1] + np.cumsum([len(x) for x in lead[1]], dtype=np.int64)])
+            flat, ends = grown(flat, ends, lead[1])
         begin, size = ends[numbers], ends[numbers + 1] - ends[numbers]
         before = np.concatenate([[0], np.cumsum(size)])
         place = np.arange(before[-1]) + np.repeat(begin - before[:-1], size)
         return flat[place], before[bounds]
 
 
-@lru_cache(maxsize=4)
+def grown(flat: np.ndarray, ends: np.ndarray, more: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, more), np.int64, len(more)) // 4
+    return np.concatenate([flat, np.frombuffer(b"".join(more), np.uint32)]), np.concatenate([ends, ends[-1] + np.cumsum(sizes)])
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch with a ``text`` column in runs of rows of about ``SLICE`` bytes, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    run = np.cumsum(sizes) // SLICE
+    starts = np.flatnonzero(np.r_[True, np.diff(run) > 0]).tolist() if len(run) else []
+    for a, b in zip(starts, [*starts[1:], batch.num_rows]):
+        yield batch.slice(a, b - a)
+
+
+@lru_cache(maxsize=1)
 def unit_ids(path: str, spaced: bool) -> UnitIds:
     return UnitIds(path, spaced)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from esquina.llm.batches import id_and_text
-from esquina.llm.vocab import unit_ids
+from esquina.llm.vocab import slices, unit_ids
 
 MAGIC = b"WVM1"
 SHARD_TOKENS = 1 << 20
@@ -158,7 +158,7 @@ def build_shards(docs: DataFrame, path: str, spaced: bool = True, end_id: int =
             names = ["part", "shard", "start_in_part", "n_tokens", "n_docs", "payload"]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, kinds)], names)
 
-        for b in batches:
+        for b in (x for whole in batches for x in slices(whole)):
             flat, at = coder.encode(b.column("text"))
             flat = np.insert(flat, at[1:], np.uint32(end_id))
             at = at + np.arange(len(at))
