@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from esquina.llm import bpe, lines, packing, quality, wavelet
+from esquina.llm import ann, bpe, lines, neardup, packing, quality, wavelet
 from esquina.llm.ship import ship
 from esquina.operators.stage import shared_dir
 
@@ -100,3 +100,38 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/token-shards-{uuid.uuid4().hex}"
     wavelet.write_shards(read(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
     return wavelet.document_rows(wavelet.read_shards(spark, folder))
+
+
+NEIGHBOURS_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+good AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND e IS NOT NULL
+  AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+scored AS (SELECT a.vec_id AS query_id, b.vec_id,
+  sqrt(list_sum(list_transform(list_zip(a.e, b.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS score
+  FROM good a JOIN good b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 10"""
+
+
+@query("op5_tree_forest", NEIGHBOURS_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+NEAR_SQL = rf"""WITH RECURSIVE n_words AS (SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS ws FROM documents),
+n_sets AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN ws
+  ELSE list_distinct([ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))]) END AS items FROM n_words),
+n_items AS (SELECT doc_id, len(items) AS size, unnest(items) AS item FROM n_sets),
+n_pairs AS (SELECT a.doc_id AS x, b.doc_id AS y FROM n_items a JOIN n_items b
+  ON a.item = b.item AND a.doc_id < b.doc_id AND 100 * least(a.size, b.size) >= 80 * greatest(a.size, b.size)
+  GROUP BY x, y HAVING 100 * count(*) >= 80 * (any_value(a.size) + any_value(b.size) - count(*))),
+n_edges AS (SELECT x, y FROM n_pairs UNION ALL SELECT y, x FROM n_pairs),
+n_reach(root, doc_id) AS (SELECT doc_id, doc_id FROM n_sets UNION SELECT r.root, e.y FROM n_reach r JOIN n_edges e ON e.x = r.doc_id),
+n_comps AS (SELECT doc_id, min(root) AS component_id FROM n_reach GROUP BY doc_id)
+SELECT doc_id, len(items) AS n_shingles, component_id, doc_id = component_id AS kept FROM n_sets JOIN n_comps USING (doc_id)"""
+
+
+@query("op9_near_duplicates", NEAR_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(read(spark, sf_dir, "documents"), words=2)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")

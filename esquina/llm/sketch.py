@@ -64,7 +64,7 @@ def sketch(items: np.ndarray, size: int) -> np.ndarray:
         first += per_step
         empty = bool((out == np.iinfo(np.uint64).max).any())
     for b in np.flatnonzero(out == np.iinfo(np.uint64).max):
-        h = mix(items ^ mix(np.uint64(size + int(b) + 1) * _STEP))
+        h = mix(items ^ mix(np.array([size + b + 1], np.uint64) * _STEP))
         out[b] = (np.uint64(size + int(b)) << _S32) | (h & np.uint64(0xFFFFFFFF)).min()
     return out
 
