@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from esquina.llm import ann, bpe, lines, neardup, packing, quality, wavelet
+from esquina.llm import ann, bpe, lines, neardup, packing, quality, substrings, wavelet
 from esquina.llm.ship import ship
 from esquina.operators.stage import shared_dir
 
@@ -118,7 +118,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NEAR_SQL = rf"""WITH RECURSIVE n_words AS (SELECT doc_id, regexp_extract_all(
-    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS ws FROM documents),
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS ws FROM documents),
 n_sets AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN ws
   ELSE list_distinct([ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))]) END AS items FROM n_words),
 n_items AS (SELECT doc_id, len(items) AS size, unnest(items) AS item FROM n_sets),
@@ -135,3 +136,25 @@ SELECT doc_id, len(items) AS n_shingles, component_id, doc_id = component_id AS
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(read(spark, sf_dir, "documents"), words=2)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+REPEATS_SQL = rf"""WITH s_words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s_places AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM s_words),
+s_windows AS (SELECT doc_id, i, w, md5(string_agg(w, ' ') OVER d) AS words, count(*) OVER d AS n FROM s_places
+  WINDOW d AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {substrings.WINDOW - 1} FOLLOWING)),
+s_counts AS (SELECT words FROM s_windows WHERE n = {substrings.WINDOW} GROUP BY words HAVING count(*) > 1),
+s_marked AS (SELECT s.*, c.words IS NOT NULL AND n = {substrings.WINDOW} AS again FROM s_windows s LEFT JOIN s_counts c USING (words)),
+s_covered AS (SELECT doc_id, i, w, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i
+  ROWS BETWEEN {substrings.WINDOW - 1} PRECEDING AND CURRENT ROW) AS gone FROM s_marked),
+s_docs AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed,
+  coalesce(string_agg(w, ' ' ORDER BY i) FILTER (NOT gone), '') AS kept FROM s_covered GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN s_docs USING (doc_id)"""
+
+
+@query("op3_repeated_passages", REPEATS_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.without_repeats(read(spark, sf_dir, "documents"))
+    blanks = r"[ \x09-\x0D]+"
+    words = F.btrim(F.regexp_replace(F.coalesce("text", F.lit("")), blanks, " "), F.lit(" "))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(words.cast("binary"), 256).alias("kept_sha256"))
