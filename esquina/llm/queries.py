@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from esquina.llm import ann, bpe, lines, neardup, packing, quality, substrings, wavelet
+from esquina.llm import ann, bpe, html_tree, lines, neardup, packing, quality, substrings, wavelet
 from esquina.llm.ship import ship
 from esquina.operators.stage import shared_dir
 
@@ -158,3 +158,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     blanks = r"[ \x09-\x0D]+"
     words = F.btrim(F.regexp_replace(F.coalesce("text", F.lit("")), blanks, " "), F.lit(" "))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(words.cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op8_html_tree")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return html_tree.extract(pages, html_tree.train(pages))
