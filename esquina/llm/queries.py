@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from esquina.llm import ann, bpe, html_tree, lines, neardup, packing, quality, substrings, wavelet
+from esquina.llm import ann, bpe, html_tree, language, lines, neardup, packing, quality, substrings, wavelet
 from esquina.llm.ship import ship
 from esquina.operators.stage import shared_dir
 
@@ -164,3 +164,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
     return html_tree.extract(pages, html_tree.train(pages))
+
+
+@query("op6_language_fusion")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    texts = html_tree.extract(pages.withColumn("url", F.struct("url", "html")), html_tree.train(pages))
+    rows = texts.select("page_id", "url.url", "url.html", "text")
+    return language.identify(rows, language.train(read(spark, sf_dir, "documents")))
