@@ -157,7 +157,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.without_repeats(read(spark, sf_dir, "documents"))
     blanks = r"[ \x09-\x0D]+"
     words = F.btrim(F.regexp_replace(F.coalesce("text", F.lit("")), blanks, " "), F.lit(" "))
-    return found.select("doc_id", "n_words", "n_removed", F.sha2(words.cast("binary"), 256).alias("kept_sha256"))
+    return found.select("row.doc_id", "n_words", "n_removed", F.sha2(words.cast("binary"), 256).alias("kept_sha256"))
 
 
 @query("op8_html_tree")

@@ -165,8 +165,11 @@ def span_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Id, text hash and text, and the whole row beside them."""
     text = F.col(f"`{text_col}`").cast("binary")
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("row_key"), text.alias("text"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    key = F.xxhash64(text).alias("row_key")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), key, text.alias("text"), row.alias("row"))
 
 
 def region_rows(rows: DataFrame, window: int, gram: int) -> DataFrame:
@@ -248,15 +251,15 @@ def cut_spans(text: bytes, spans: list[dict], window: int) -> tuple[int, int, by
 def without_repeats(
     docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_regions: int = SHARD_REGIONS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``doc_id, row_key, n_words, n_removed, text``: every row's text without the words of repeated windows.
+    """``row, n_words, n_removed, text``: every row of ``docs``, and its text without the words of repeated windows.
 
     A window is ``window`` consecutive words of one text; it is repeated if the same words start anywhere else,
     in the same text too. Windows are judged on the input. A text that loses nothing stays as it is; null has no
-    words and stays null; a row that repeats is a second place of all its windows. ``row_key`` is a hash of the text
-    and tells rows apart that share an id. ``shard_regions`` and ``gram`` do not change the result.
+    words and stays null; a row that repeats is a second place of all its windows; rows with one id and different
+    texts are told apart. ``shard_regions`` and ``gram`` do not change the result.
     """
     rows = keyed(docs, id_col, text_col)
-    regions = settle(region_rows(rows, window, gram), "regions")
+    regions = settle(region_rows(rows.select("doc_id", "row_key", "text"), window, gram), "regions")
     often = regions.groupBy("run").agg(F.count("*").alias("n")).filter("n > 1").select("run")
     shared = settle(regions.join(often, "run"), "shared-regions")
     place = F.struct("doc_id", "row_key", "start", "windows")
@@ -268,8 +271,7 @@ def without_repeats(
     texts = rows.repartition("doc_id", "row_key")
     same = F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("row_key") == F.col("w_key"))
     # Of rows that are wholly equal one is enough here.
-    needed = texts.join(wanted, same).dropDuplicates(["doc_id", "row_key"])
-    needed = needed.select("doc_id", "row_key", "text", "wanted")
+    needed = texts.join(wanted, same).select("doc_id", "row_key", "text", "wanted").dropDuplicates(["doc_id", "row_key"])
     return finished(texts, shared, contents, needed, window, shard_regions)
 
 
@@ -288,19 +290,26 @@ def finished(
         F.collect_list(F.struct("start", "mask")).alias("spans")
     )
     same = F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("row_key") == F.col("s_key"))
-    joined = texts.join(listed, same, "left").select("doc_id", "row_key", "text", "spans")
+    cut = cut_column(window)
+    return texts.join(listed, same, "left").select("row", cut("text", "spans").alias("c")).select("row", "c.*")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for text, spans_ in zip(b.column("text"), b.column("spans")):
-                raw = text.as_py()
-                s = spans_.as_py()
-                out.append(cut_spans(raw, s, window) if s else (len(raw.split()) if raw else 0, 0, raw))
-            kinds = (pa.int64(), pa.int64(), pa.binary())
-            made = [pa.array(c, k) for c, k in zip(zip(*out) if out else ([], [], []), kinds)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], *made], ["doc_id", "row_key", "n_words", "n_removed", "text"])
-
-    return joined.mapInArrow(cut, "doc_id long, row_key long, n_words long, n_removed long, text binary").withColumn(
-        "text", F.col("text").cast("string")
-    )
+
+def cut_column(window: int):
+    kind = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string())])
+
+    @F.arrow_udf("struct<n_words: long, n_removed: long, text: string>")
+    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        rows = []
+        for text, listed in zip(texts, spans):
+            raw, found = text.as_py(), listed.as_py()
+            n, gone, kept = cut_spans(raw, found, window) if found else (len(raw.split()) if raw else 0, 0, raw)
+            rows.append({"n_words": n, "n_removed": gone, "text": None if kept is None else kept.decode("utf-8", "replace")})
+        return pa.array(rows, kind)
+
+    return cut
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the text of every row cut, all other columns as they are."""
+    found = without_repeats(docs, window, id_col=id_col, text_col=text_col)
+    return found.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])
