@@ -1,8 +1,8 @@
 """Near-duplicate documents: fast similarity sketches, banding, verification on full sets, components.
 
 Documents with equal shingle sets form a class, which takes part once. Classes that share a band key meet in a
-bucket. Instead of all pairs of a bucket, one member at a time, the pivot, is compared with the members of other
-components; links found so far join components, and a bucket with one component left is done. A pivot leaves its
+bucket. Instead of all pairs of a bucket, a few members at a time, the pivots, are compared with the members of other
+components; links found so far join components, and a bucket with one component left is done. Pivots leave their
 bucket, so in the end every pair of a bucket has been compared or is connected: no link is lost to the shortcut.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from esquina.llm.batches import id_and_text
@@ -21,6 +21,8 @@ from esquina.operators.stage import settle
 
 BANDS, ROWS = 48, 6  # a pair at 0.8 shares no band with probability 5e-7
 PERCENT = 80
+# Members of a bucket that are compared with its others in one step, after a first step with one, which joins most.
+PIVOTS = 16
 SKETCHES = "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>"
 
 
@@ -87,16 +89,20 @@ def class_components(docs: DataFrame, reps: DataFrame, words: int, percent: int)
         step += 1
         sizes = labels.groupBy("comp").agg(F.count("*").alias("size"))
         placed = buckets.join(labels.join(sizes, "comp"), "class_id")
-        pivot = F.struct("size", F.xxhash64("class_id", F.lit(step)).alias("h"), "class_id", "comp", "n")
-        groups = placed.groupBy("key").agg(F.min(pivot).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        mixed = settle(groups.filter("lo < hi").select("key", "p"), "mixed-buckets")
+        open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+        mixed = settle(placed.join(open_keys, "key"), "mixed-buckets")
         if mixed.isEmpty():
             return labels
-        met = placed.join(mixed, "key")
-        other = met.filter("comp <> p.comp").filter(100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n"))
-        pairs = other.select(F.least("class_id", "p.class_id").alias("a"), F.greatest("class_id", "p.class_id").alias("b"))
+        # Members of small components first: they have the fewest links, and the others need not be pivots then.
+        first = Window.partitionBy("key").orderBy("size", F.xxhash64("class_id", F.lit(step)), "class_id")
+        ranked = mixed.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= (1 if step == 1 else PIVOTS))
+        pivots = settle(ranked.select("key", *[F.col(c).alias(f"p_{c}") for c in ("class_id", "comp", "n")]), "pivots")
+        met = mixed.join(pivots, "key").filter("comp <> p_comp")
+        met = met.filter(100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n"))
+        pairs = met.select(F.least("class_id", "p_class_id").alias("a"), F.greatest("class_id", "p_class_id").alias("b"))
         links = settle(verified(pairs.distinct(), sets, percent), "links")
-        buckets = settle(met.filter("class_id <> p.class_id").select("class_id", "n", "key"), "buckets")
+        done = pivots.select("key", F.col("p_class_id").alias("class_id"))
+        buckets = mixed.join(done, ["key", "class_id"], "left_anti").select("class_id", "n", "key")
         if not links.isEmpty():
             labels = settle(relabelled(labels, links), "labels")
 
