@@ -69,7 +69,8 @@ class WaveletMatrix:
         inside = np.arange(BLOCK // 8) < (i % BLOCK // 8)[:, None]
         total = total + (np.bitwise_count(padded[bytes_at]) * inside).sum(1)
         rest = i % 8
-        return total + np.bitwise_count(padded[i // 8] >> (8 - rest).astype(np.uint8)) * (rest > 0)
+        total = total + np.bitwise_count(padded[i // 8] >> (8 - rest).astype(np.uint8)) * (rest > 0)
+        return total.astype(np.int64)
 
     def _bit(self, level: int, i: np.ndarray) -> np.ndarray:
         return self.planes[level][i // 8] >> (7 - i % 8).astype(np.uint8) & 1
