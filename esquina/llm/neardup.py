@@ -4,43 +4,58 @@ Documents with equal shingle sets form a class, which takes part once. Classes t
 bucket. Instead of all pairs of a bucket, a few members at a time, the pivots, are compared with the members of other
 components; links found so far join components, and a bucket with one component left is done. Pivots leave their
 bucket, so in the end every pair of a bucket has been compared or is connected: no link is lost to the shortcut.
+
+Most pairs that share a bucket are far from similar. One bit of each sketch coordinate goes with the members, and only
+pairs whose bits agree often enough are compared on their full sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from esquina.llm.batches import id_and_text
 from esquina.llm.graph import components
-from esquina.llm.sketch import Shingles, band_keys, set_digest, sketch
+from esquina.llm.sketch import Shingles, band_keys, coordinate_bits, set_digest, sketch
 from esquina.operators.stage import settle
 
 BANDS, ROWS = 48, 6  # a pair at 0.8 shares no band with probability 5e-7
 PERCENT = 80
-# Members of a bucket that are compared with its others in one step, after a first step with one, which joins most.
-PIVOTS = 16
-SKETCHES = "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>"
+# Members of a bucket that are compared with its others in one step: one at first, which joins most, then twice as many
+# as in the step before. Up to the bound Spark cuts a ranking to its first rows before it shuffles them.
+FIRST_PIVOTS, MOST_PIVOTS = 64, 512
+# Bits of a sketch that are compared first. At a similarity s a bit agrees with probability (1 + s) / 2; the bound lies
+# 5.5 deviations below the mean. Of 256 bits at 0.8 that is 204, which a pair misses with probability 3e-7.
+BITS, DEVIATIONS = 256, 5.5
+BIT_COLUMNS = [f"bits{i}" for i in range(BITS // 64)]
+SKETCHES = "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>, " + ", ".join(f"{c} long" for c in BIT_COLUMNS)
+NO_BITS = [0] * len(BIT_COLUMNS)
 
 
 def sketches(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Per document: size of its shingle set, 128 bits that stand for the set, and its band keys (none if empty)."""
+    """Per document: size of its shingle set, 128 bits that stand for the set, its band keys (none if empty) and bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Shingles(words)
         for b in batches:
-            sizes, digests, keys = [], [], []
+            sizes, digests, keys, bits = [], [], [], []
             for t in b.column("text"):
                 items = of.of(t.as_py())
                 sizes.append(len(items))
                 digests.append(set_digest(items))
-                keys.append(band_keys(sketch(items, bands * rows), rows).view("i8") if len(items) else [])
+                made = sketch(items, bands * rows) if len(items) else None
+                keys.append([] if made is None else band_keys(made, rows).view("i8"))
+                bits.append(NO_BITS if made is None else coordinate_bits(made, BITS))
             one, two = zip(*digests) if digests else ((), ())
+            words_of_bits = zip(*bits) if bits else [()] * len(BIT_COLUMNS)
             columns = [b.column("doc_id"), *(pa.array(c, pa.int64()) for c in (sizes, one, two)), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set1", "set2", "bands"])
+            columns += [pa.array(c, pa.int64()) for c in words_of_bits]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set1", "set2", "bands", *BIT_COLUMNS])
 
     return id_and_text(docs).mapInArrow(run, SKETCHES)
 
@@ -58,9 +73,11 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` with ``100 * intersection >= percent * union``, on the full sets."""
-    first = sets.select(F.col("class_id").alias("a"), F.col("items").alias("left"))
-    second = sets.select(F.col("class_id").alias("b"), F.col("items").alias("right"))
+    """The pairs ``a, b`` with ``100 * intersection >= percent * union``, on the full sets; ``pairs`` is settled."""
+    needed = pairs.select(F.col("a").alias("class_id")).unionByName(pairs.select(F.col("b").alias("class_id"))).distinct()
+    few = sets.join(needed, "class_id", "left_semi")
+    first = few.select(F.col("class_id").alias("a"), F.col("items").alias("left"))
+    second = few.select(F.col("class_id").alias("b"), F.col("items").alias("right"))
     shared = F.size(F.array_intersect("left", "right"))
     joined = pairs.join(first, "a").join(second, "b")
     return joined.filter(100 * shared >= percent * (F.size("left") + F.size("right") - shared)).select("a", "b")
@@ -71,23 +88,35 @@ def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     of_a = labels.select(F.col("class_id").alias("a"), F.col("comp").alias("ca"))
     of_b = labels.select(F.col("class_id").alias("b"), F.col("comp").alias("cb"))
     between = links.join(of_a, "a").join(of_b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    merged = components(between).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    merged = settle(components(between).select(F.col("node").alias("comp"), F.col("comp").alias("to")), "merged")
     return labels.join(merged, "comp", "left").select("class_id", F.coalesce("to", "comp").alias("comp"))
 
 
+def least_agreeing(percent: int) -> int:
+    p = (1 + percent / 100) / 2
+    return math.floor(BITS * p - DEVIATIONS * math.sqrt(BITS * p * (1 - p)))
+
+
+def agreeing() -> Column:
+    """How many bits of a member and of a pivot agree."""
+    differing = [F.bit_count(F.col(c).bitwiseXOR(F.col(f"p_{c}"))) for c in BIT_COLUMNS]
+    return F.lit(BITS) - reduce(Column.__add__, differing)
+
+
 def class_components(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
-    """``class_id, comp`` for the classes that share a bucket with another; ``reps`` has ``class_id, n, bands``."""
-    rows = reps.select("class_id", "n", F.explode("bands").alias("key"))
+    """``class_id, comp`` for the classes that share a bucket with another; ``reps`` has their sizes, bands and bits."""
+    rows = reps.select("class_id", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
-    buckets = settle(rows.join(shared, "key"), "buckets")
-    members = buckets.select("class_id").distinct()
+    met_once = settle(rows.join(shared, "key"), "met")
+    members = met_once.select("class_id").distinct()
+    buckets = settle(met_once.join(reps.select("class_id", "n", *BIT_COLUMNS), "class_id"), "buckets")
     texts = id_and_text(docs).join(members, F.col("doc_id") == F.col("class_id"), "left_semi").dropDuplicates(["doc_id"])
     sets = settle(shingle_sets(texts, words).withColumnRenamed("doc_id", "class_id"), "shingle-sets")
     labels = settle(members.withColumn("comp", F.col("class_id")), "labels")
-    step = 0
+    step, pivots_now = 0, 1
     while True:
         step += 1
-        sizes = labels.groupBy("comp").agg(F.count("*").alias("size"))
+        sizes = settle(labels.groupBy("comp").agg(F.count("*").alias("size")), "component-sizes")
         placed = buckets.join(labels.join(sizes, "comp"), "class_id")
         open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
         mixed = settle(placed.join(open_keys, "key"), "mixed-buckets")
@@ -95,16 +124,21 @@ def class_components(docs: DataFrame, reps: DataFrame, words: int, percent: int)
             return labels
         # Members of small components first: they have the fewest links, and the others need not be pivots then.
         first = Window.partitionBy("key").orderBy("size", F.xxhash64("class_id", F.lit(step)), "class_id")
-        ranked = mixed.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= (1 if step == 1 else PIVOTS))
-        pivots = settle(ranked.select("key", *[F.col(c).alias(f"p_{c}") for c in ("class_id", "comp", "n")]), "pivots")
-        met = mixed.join(pivots, "key").filter("comp <> p_comp")
-        met = met.filter(100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n"))
+        ranked = mixed.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= pivots_now)
+        pivots = settle(ranked.select("key", *[F.col(c).alias(f"p_{c}") for c in ("class_id", "comp", "n", *BIT_COLUMNS)]), "pivots")
+        near = (
+            (F.col("comp") != F.col("p_comp"))
+            & (100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n"))
+            & (agreeing() >= least_agreeing(percent))
+        )
+        met = mixed.join(pivots, "key").filter(near)
         pairs = met.select(F.least("class_id", "p_class_id").alias("a"), F.greatest("class_id", "p_class_id").alias("b"))
-        links = settle(verified(pairs.distinct(), sets, percent), "links")
+        links = settle(verified(settle(pairs.distinct(), "pairs"), sets, percent), "links")
         done = pivots.select("key", F.col("p_class_id").alias("class_id"))
-        buckets = mixed.join(done, ["key", "class_id"], "left_anti").select("class_id", "n", "key")
+        buckets = mixed.join(done, ["key", "class_id"], "left_anti").select("class_id", "n", *BIT_COLUMNS, "key")
         if not links.isEmpty():
             labels = settle(relabelled(labels, links), "labels")
+        pivots_now = max(FIRST_PIVOTS, min(2 * pivots_now, MOST_PIVOTS))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -118,8 +152,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT) ->
     made = settle(sketches(docs, words), "sketches")
     some = made.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     alike = ["n_shingles", "set1", "set2"]
-    classes = settle(some.groupBy(*alike).agg(F.min("doc_id").alias("class_id"), F.first("bands").alias("bands")), "classes")
-    reps = classes.select("class_id", F.col("n_shingles").alias("n"), "bands")
+    firsts = [F.first(c).alias(c) for c in ("bands", *BIT_COLUMNS)]
+    classes = settle(some.groupBy(*alike).agg(F.min("doc_id").alias("class_id"), *firsts), "classes")
+    reps = classes.select("class_id", F.col("n_shingles").alias("n"), "bands", *BIT_COLUMNS)
     labels = class_components(docs, reps, words, percent)
     of_class = classes.select(*alike, "class_id").join(labels, "class_id", "left")
     known = made.select("doc_id", *alike).join(of_class, alike, "left")

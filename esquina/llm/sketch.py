@@ -81,3 +81,8 @@ def band_keys(coordinates: np.ndarray, rows: int) -> np.ndarray:
 def set_digest(items: np.ndarray) -> tuple[int, int]:
     d = hashlib.blake2b(items.tobytes(), digest_size=16).digest()
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
+def coordinate_bits(coordinates: np.ndarray, size: int) -> list[int]:
+    """One bit of each of the first ``size`` coordinates, as signed 64-bit numbers."""
+    return np.packbits(mix(coordinates[:size]) >> np.uint64(63) == 1).view("i8").tolist()
