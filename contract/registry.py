@@ -681,7 +681,7 @@ def _(spark, sf):
     row_number() OVER (PARTITION BY qstr ORDER BY score DESC, id) AS place FROM total JOIN docs USING (id)),
   firsts AS (SELECT req_id, "limit", p.*, row_number() OVER (PARTITION BY req_id, nombre_cal ORDER BY place) AS rn
     FROM suggest_requests r JOIN places p USING (qstr) WHERE "limit" <= 50 AND place <= least("limit" * 5, 200)),
-  ranked AS (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY place) AS rank FROM firsts WHERE rn = 1)
+  ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY req_id ORDER BY place) AS INT) AS rank FROM firsts WHERE rn = 1)
   SELECT req_id, rank, id, numero_cal, nombre_cal, score FROM ranked WHERE rank <= "limit" """)
 def _(spark, sf):
     docs = tables.street_docs(v.streets(spark, sf))

@@ -80,7 +80,7 @@ def named(texts: str) -> list[tuple[str, str]]:
             nnorm LIKE pat ESCAPE '\\' AS is_like, {hits('toks', 'nnorm')} AS hits FROM asked3, names3"""),
         ("scored", f"""SELECT q, nombre_cal, numero_cal, sim, is_like, {score('sim', 'is_like', 'hits')} AS score
             FROM pairs WHERE is_like OR sim > 0.35e0"""),
-        ("ranked", """SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, nombre_cal ASC NULLS LAST) AS rank
+        ("ranked", """SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, nombre_cal ASC NULLS LAST) AS INT) AS rank
             FROM scored"""),
     ]
 
@@ -257,7 +257,7 @@ def search(texts: str) -> list[tuple[str, str]]:
             UNION ALL
             SELECT DISTINCT t.field, t.qstr, p.k, 1e0 FROM toks t JOIN posts p
               ON p.field = t.field AND starts_with(p.term, t.term) WHERE is_last) x GROUP BY 1, 2, 3"""),
-        ("prefix", "SELECT qstr, k, 3e0 * max(score) AS score FROM pre GROUP BY 1, 2"),
+        ("prefix", "SELECT qstr, k, 3e0 * sum(score) AS score FROM pre GROUP BY 1, 2"),
         # fuzzy
         ("vocab", "SELECT DISTINCT term AS found FROM posts WHERE field = 'street'"),
         ("near", """SELECT term, found, damerau_levenshtein(term, found) AS edits

@@ -15,11 +15,11 @@ ANY_NUMBER = -1
 
 
 def lower_bound(first: Column, last: Column) -> Column:
-    return F.greatest(F.least(first.cast("long"), last.cast("long")), F.lit(LOWEST).cast("long"))
+    return F.greatest(F.least(first, last), F.lit(LOWEST)).cast("int")
 
 
 def upper_bound(first: Column, last: Column) -> Column:
-    return F.least(F.greatest(first.cast("long"), last.cast("long")), F.lit(HIGHEST).cast("long"))
+    return F.least(F.greatest(first, last), F.lit(HIGHEST)).cast("int")
 
 
 def position(number: Column, low: Column, high: Column) -> Column:

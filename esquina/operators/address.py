@@ -47,9 +47,9 @@ def best_blocks(streets: DataFrame) -> DataFrame:
     def side(even: bool, low: str, high: str) -> Column:
         return F.struct(
             F.lit(even).alias("even"),
-            F.least(low, high).alias("low"),
-            F.greatest(low, high).alias("high"),
-            (F.col(high) - F.col(low)).alias("width"),
+            F.least(low, high).cast("long").alias("low"),
+            F.greatest(low, high).cast("long").alias("high"),
+            (F.col(high).cast("long") - F.col(low)).alias("width"),
         )
 
     sides = F.array(side(True, "min_par", "max_par"), side(False, "min_impar", "max_impar"))
@@ -100,6 +100,7 @@ def place(picked: DataFrame, streets: DataFrame) -> DataFrame:
     """(code, altura) with the chosen segment and its point in the struct ``seg``."""
     even = rg.is_even(F.col("altura"))
     payload = with_bounds(streets).select(
+        tx.norm_code(F.col("numero_cal")).alias("code"),
         "id", "numero_cal", "nombre_cal", "min_par", "max_par", "min_impar", "max_impar",
         F.col("geom").isNotNull().alias("has_geom"),
         F.col("geom.srid").alias("srid"),
@@ -114,7 +115,7 @@ def place(picked: DataFrame, streets: DataFrame) -> DataFrame:
         .otherwise(F.lit(checks.OK))
     )
     return (
-        picked.join(payload, "id")
+        picked.join(payload, ["code", "id"])
         .withColumn("min_rango", F.when(even, F.col("min_par")).otherwise(F.col("min_impar")))
         .withColumn("max_rango", F.when(even, F.col("max_par")).otherwise(F.col("max_impar")))
         .select(

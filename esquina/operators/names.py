@@ -24,7 +24,10 @@ from esquina.operators.skew import hot_rows, spread_lookup
 from esquina.operators.stage import settle
 
 # Fixed value: number of suggestions when the request gives none.
-DEFAULT_LIMIT = 10
+DEFAULT_LIMIT = 20
+
+# So many token hits score more than the flat value of a substring match.
+MANY_TOKENS = 5
 
 # Thresholds in percent, so that the set bounds are exact integers.
 SIMILAR, FLAT = 35, 70
@@ -85,6 +88,11 @@ def _prefix_length(n: Column, percent: Column | int) -> Column:
     return F.greatest(n - _least(n, percent) + 1, F.lit(0))
 
 
+def _few_tokens() -> Column:
+    """Whether no name can score more than the flat value by its token hits."""
+    return F.size(F.filter("toks", lambda t: t != "")) < MANY_TOKENS
+
+
 def prepare_queries(queries: DataFrame, index: NameIndex) -> DataFrame:
     """Adds tokens, pattern, ordered grams and the join keys to (qnorm, k)."""
     toks = tx.name_tokens(F.col("qnorm"))
@@ -108,7 +116,7 @@ def prepare_queries(queries: DataFrame, index: NameIndex) -> DataFrame:
         lambda n: F.concat(F.lit("length "), n.cast("string")),
     )
     return (
-        q.withColumn("cut", cuttable)
+        q.withColumn("cut", cuttable & _few_tokens())
         .withColumn("keys", F.when(F.size("runs") == 0, lengths).otherwise(F.array(key)))
         .drop("raw", "runs")
     )
@@ -174,10 +182,10 @@ def rank_names(queries: DataFrame, index: NameIndex, k_max: int) -> DataFrame:
     prepared = settle(prepare_queries(queries, index), "name-queries")
     wanted = ["qnorm", "k", "nombre_cal", "numero_cal", "score"]
     by_substring = settle(substring_pairs(prepared, index, k_max).select(*wanted, "sim"), "substring-pairs")
-    # With k names at 0.7 already, a name that is less similar cannot be an answer.
+    # With k names at 0.7 already, a name that is less similar cannot be an answer, unless its token hits lift it.
     filled = by_substring.groupBy("qnorm", "k").agg(F.count(F.lit(1)).alias("found"))
     graded = prepared.join(filled, ["qnorm", "k"], "left").withColumn(
-        "percent", F.when(F.col("found") >= F.col("k"), F.lit(FLAT)).otherwise(F.lit(SIMILAR))
+        "percent", F.when((F.col("found") >= F.col("k")) & _few_tokens(), F.lit(FLAT)).otherwise(F.lit(SIMILAR))
     )
     # The two sides are disjoint: similar names of a pattern come from the second.
     low = by_substring.filter(F.col("sim") <= tx.LIKE_SCORE).select(*wanted)

@@ -263,7 +263,7 @@ def _prefix_keys(postings: DataFrame) -> DataFrame:
 
 
 def prefix_scores(tokens: DataFrame, weighted: dict[str, Weighted], postings: DataFrame) -> DataFrame:
-    """All words but the last exactly, the last as a beginning; the better field counts.
+    """All words but the last exactly, the last as a beginning; the fields add up.
 
     ``tokens`` is (field, qid, pos, term, last).
     """
@@ -282,8 +282,7 @@ def prefix_scores(tokens: DataFrame, weighted: dict[str, Weighted], postings: Da
     parts.append(begun.select("field", "qid", "nid").distinct().withColumn("weight", F.lit(1.0)))
     return (
         reduce(DataFrame.unionByName, parts)
-        .groupBy("field", "qid", "nid").agg(F.sum("weight").alias("score"))
-        .groupBy("qid", "nid").agg((F.max("score") * PREFIX_BOOST).alias("score"))
+        .groupBy("qid", "nid").agg((F.sum("weight") * PREFIX_BOOST).alias("score"))
     )
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from esquina.operators.crossing import with_code_list
 from esquina.operators.search import SearchIndex, search_index
@@ -53,8 +55,8 @@ def load(
     options = dict(src=config.src, dst=config.dst, promote=config.promote, layout=layout, on_error=on_error)
     streets = read_geojson(spark, streets_path, STREET_SCHEMA, **options)
     crossings = read_geojson(spark, intersections_path, INTERSECTION_SCHEMA, **options)
-    write_table(streets.rows, store.path("streets"), config.append)
-    write_table(with_code_list(crossings.rows), store.path("intersections"), config.append)
+    for name, rows in (("streets", streets.rows), ("intersections", with_code_list(crossings.rows))):
+        write_table(numbered_on(rows, store.path(name)) if config.append else rows, store.path(name), config.append)
     write_table(streets.rejects.unionByName(crossings.rejects), store.path("rejects"), config.append)
     refresh_search(spark, store)
     # Last, so that a load that broke off is done again.
@@ -62,6 +64,15 @@ def load(
     return True
 
 
+def numbered_on(rows: DataFrame, path: str) -> DataFrame:
+    """``rows`` with ids, which are not negative, behind those of the stored table."""
+    try:
+        last = rows.sparkSession.read.parquet(path).agg(F.max("id")).first()[0]
+    except AnalysisException:
+        last = None
+    return rows if last is None else rows.withColumn("id", F.col("id") + F.lit(last + 1))
+
+
 def refresh_search(spark: SparkSession, store: Store) -> None:
     """Rebuilds the search documents and postings from the stored streets."""
     docs = street_docs(store.table(spark, "streets"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from esquina.functions import geometry as gm
@@ -32,16 +32,25 @@ class Loaded:
 
 def _features_of_collections(spark: SparkSession, path: str) -> DataFrame:
     whole = spark.read.schema(COLLECTION_SCHEMA).option("multiLine", True).json(path)
+    several = len(whole.inputFiles()) > 1
+    whole = whole.withColumn("file", F.col("_metadata.file_path") if several else F.lit(""))
     broken = whole.filter(F.col("_corrupt_record").isNotNull() | F.col("features").isNull()).select(
         F.col("_corrupt_record").alias("raw"), F.lit(None).cast(FEATURE).alias("feature"), F.lit(None).cast("long").alias("at")
     )
     # One file is one task up to here, so the features are dealt out again.
     found = (
         whole.filter(F.col("_corrupt_record").isNull())
-        .select(F.posexplode("features").alias("at", "feature"))
-        .select(F.to_json("feature").alias("raw"), "feature", (F.col("at") + 1).cast("long").alias("at"))
+        .select("file", F.posexplode("features").alias("at", "feature"))
+        .select(F.to_json("feature").alias("raw"), "feature", (F.col("at") + 1).cast("long").alias("at"), "file")
         .repartition(spark.sparkContext.defaultParallelism)
     )
+    if several:
+        # Features are numbered on from file to file; this table has one row per file.
+        before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = whole.select("file", F.coalesce(F.size("features"), F.lit(0)).cast("long").alias("n"))
+        starts = sizes.select("file", F.coalesce(F.sum(F.greatest("n", F.lit(0))).over(before), F.lit(0)).alias("start"))
+        found = found.join(starts, "file").withColumn("at", F.col("at") + F.col("start")).drop("start")
+    found = found.drop("file")
     return found.unionByName(broken)
 
 

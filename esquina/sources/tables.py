@@ -61,16 +61,20 @@ class LoadConfig:
 
 
 def fingerprint(spark: SparkSession, path: str) -> str:
-    """A digest of the lines of a file, put together from per-line SHA-256 digests.
+    """A digest of a file, put together from SHA-256 digests of each line with its place.
 
-    The lines are hashed in parallel and added up, so a large file is no single task.
+    The lines are hashed in parallel and added up, so a large file is no single task. A place is the split of the
+    file and the line's number in its task; line ends are part of a line.
     """
-    digest = F.sha2("value", 256)
+    in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    place = F.concat_ws(":", F.input_file_name(), F.input_file_block_start(), in_task)
+    digest = F.sha2(F.concat_ws(" ", "place", "value"), 256)
     parts = [
         F.sum(F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).alias(f"part{i}")
         for i in range(4)
     ]
-    row = spark.read.text(path).select("value").agg(F.count(F.lit(1)).alias("lines"), *parts).first()
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", place.alias("place"))
+    row = lines.agg(F.count(F.lit(1)).alias("lines"), *parts).first()
     return ":".join(str(v) for v in row)
 
 

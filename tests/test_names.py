@@ -78,3 +78,15 @@ def test_answer_counts(spark):
     df = spark.createDataFrame([(1, "alfa", 5), (2, "qqqq", 5)], "req_id long, qstr string, limit int")
     got = names.answer_counts(df, names.suggest(df, table)).orderBy("req_id").collect()
     assert [r["count"] for r in got] == [1, 0]
+
+
+def test_token_hits_beat_substring_matches_whatever_the_rest_of_the_batch_asks(spark):
+    table = [(1, "a", "z santa maria pedro lopez casa", 0, 1, 0, 1), (2, "b", "aaaa bbbb ca ccc lo pe ma sa", 0, 1, 0, 1)]
+    stored = streets(spark, table)
+    first = []
+    for limits in ([1], [1, 2]):
+        asked = spark.createDataFrame([(i, "sa ma pe lo ca", n) for i, n in enumerate(limits)], "req_id long, qstr string, limit int")
+        first.append({(r["req_id"], r["numero_cal"]) for r in names.suggest(asked, stored).collect() if r["rank"] == 1})
+    assert first == [{(0, "b")}, {(0, "b"), (1, "b")}]
+    texts = spark.createDataFrame([("sa ma pe lo ca",)], "q string")
+    assert [r["code"] for r in names.resolve_streets(texts, stored).collect()] == ["b"]
