@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from esquina.llm import ann, bpe, html_tree, language, lines, neardup, packing, quality, substrings, wavelet
+from esquina.llm import ann, bpe, html_tree, language, lines, neardup, packing, prefix_trie, quality, substrings, url_filter, wavelet, whitening
 from esquina.llm.ship import ship
 from esquina.operators.stage import shared_dir
 
@@ -172,3 +172,43 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = html_tree.extract(pages.withColumn("url", F.struct("url", "html")), html_tree.train(pages))
     rows = texts.select("page_id", "url.url", "url.html", "text")
     return language.identify(rows, language.train(read(spark, sf_dir, "documents")))
+
+
+@query("op11_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(read(spark, sf_dir, "embeddings"))
+
+
+@query("op12_url_filter")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(read(spark, sf_dir, "pages"))
+
+
+TRIE_SQL = r"""WITH t_own AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+t_ids AS (SELECT DISTINCT conv_id, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT)) AS bytes FROM t_own),
+t_crc AS (SELECT conv_id, conv_id - conv_id % 100 AS family, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, bytes),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1))))) % 6 AS h FROM t_ids),
+t_turns AS (SELECT c.conv_id, 1 AS part, o.pos, o.role, o.text FROM t_crc c JOIN t_own o ON o.conv_id = c.family AND o.pos <= c.h
+  UNION ALL SELECT o.conv_id, 2, o.pos, o.role, o.text FROM t_own o JOIN t_crc c ON o.conv_id = c.conv_id AND o.pos > c.h),
+t_steps AS (SELECT conv_id, row_number() OVER d AS depth, length(text) AS chars,
+    md5(string_agg(md5(role) || md5(text), '') OVER d) AS key FROM t_turns
+  WINDOW d AS (PARTITION BY conv_id ORDER BY part, pos ROWS UNBOUNDED PRECEDING)),
+t_paths AS (SELECT conv_id, depth, chars, key FROM t_steps UNION ALL SELECT conv_id, 0, 0, '' FROM t_ids),
+t_linked AS (SELECT *, lag(key) OVER d AS above, row_number() OVER (PARTITION BY conv_id ORDER BY depth DESC) = 1 AS ends
+  FROM t_paths WINDOW d AS (PARTITION BY conv_id ORDER BY depth)),
+t_nodes AS (SELECT key, any_value(depth) AS depth, any_value(above) AS above, any_value(chars) AS chars, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM t_linked GROUP BY key),
+t_kids AS (SELECT above AS key, count(*) AS n_children FROM t_nodes WHERE above IS NOT NULL GROUP BY above),
+t_below AS (SELECT a.key, n.key AS low FROM t_nodes n JOIN t_paths p ON p.conv_id = n.conv_id AND p.depth <= n.depth JOIN t_nodes a ON a.key = p.key),
+t_sums AS (SELECT b.key, count(*) FILTER (k.key IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.chars) AS saved_tokens
+  FROM t_below b JOIN t_nodes n ON n.key = b.low LEFT JOIN t_kids k ON k.key = b.low GROUP BY b.key)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, s.n_leaves,
+  CAST(s.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM t_nodes n LEFT JOIN t_nodes p ON p.key = n.above LEFT JOIN t_kids k ON k.key = n.key JOIN t_sums s ON s.key = n.key"""
+
+
+@query("op13_prefix_trie", TRIE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
