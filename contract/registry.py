@@ -677,17 +677,28 @@ def _(spark, sf):
     return names.suggest(v.suggest_requests(spark, sf), v.streets(spark, sf))
 
 
-@query("e2_q7_r9_search_suggest", SEARCH + """, places AS (SELECT qstr, id, nombre_cal, numero_cal, score,
+SEARCH_ANSWERS = """, places AS (SELECT qstr, id, nombre_cal, numero_cal, score,
     row_number() OVER (PARTITION BY qstr ORDER BY score DESC, id) AS place FROM total JOIN docs USING (id)),
   firsts AS (SELECT req_id, "limit", p.*, row_number() OVER (PARTITION BY req_id, nombre_cal ORDER BY place) AS rn
     FROM suggest_requests r JOIN places p USING (qstr) WHERE "limit" <= 50 AND place <= least("limit" * 5, 200)),
   ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY req_id ORDER BY place) AS INT) AS rank FROM firsts WHERE rn = 1)
-  SELECT req_id, rank, id, numero_cal, nombre_cal, score FROM ranked WHERE rank <= "limit" """)
+  SELECT req_id, rank, id, numero_cal, nombre_cal, score FROM ranked WHERE rank <= "limit" """
+
+
+@query("e2_q7_r9_search_suggest", SEARCH + SEARCH_ANSWERS)
 def _(spark, sf):
     docs = tables.street_docs(v.streets(spark, sf))
     return search.search_suggest(v.suggest_requests(spark, sf), docs).drop("centroid")
 
 
+WIDE_SEARCH = s.ctes(("streets", v.SEARCH_DOCS), ("suggest_requests", v.SEARCH_REQUESTS), *s.search(SEARCH_TEXTS))
+
+
+@query("e2_wide_search", WIDE_SEARCH + SEARCH_ANSWERS)
+def _(spark, sf):
+    return search.search_suggest(v.search_requests(spark, sf), v.search_docs(spark, sf))
+
+
 ALL_CODES = """SELECT req_id, altura, fallback, calle, partido, upper(regexp_replace(CASE WHEN numero_cal IS NOT NULL THEN numero_cal
     ELSE coalesce(code, '') END, '\\s+', '', 'g')) AS code FROM address_requests LEFT JOIN resolved ON q = coalesce(calle, '')"""
 E3 = [s.STREETS, s.ADDRESSES, *s.resolved(TEXTS), ("coded", ALL_CODES), *s.chosen("SELECT req_id, code, altura, fallback FROM coded")]

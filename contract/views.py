@@ -149,6 +149,19 @@ def intersection_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, INTERSECTION_REQUESTS)
 
 
+SEARCH_DOCS = "SELECT doc_id AS id, CAST(doc_id AS STRING) AS numero_cal, substr(text, 1, 60) AS nombre_cal FROM documents"
+
+SEARCH_REQUESTS = 'SELECT item_id AS req_id, substr(text, 1, 25) AS qstr, 10 AS "limit" FROM benchmark'
+
+
+def search_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, SEARCH_DOCS)
+
+
+def search_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, SEARCH_REQUESTS)
+
+
 def suggest_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, SUGGEST_REQUESTS)
 

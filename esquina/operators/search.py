@@ -3,6 +3,12 @@
 All documents with one name score alike, so the index holds one entry per name with the
 number of its documents, and only the best names are expanded to documents again. A query
 text that several requests share is answered once.
+
+Names lie in blocks, short names first. Per block and term the index keeps what a posting's
+weight cannot exceed, from which every block gets a bound of its names' scores for a query.
+The best blocks of a query are scored first; their 200th name is beaten by few of the other
+blocks or none, and only those are scored, in rounds, until no block that is left can matter.
+The cut is exact.
 """
 
 from __future__ import annotations
@@ -28,14 +34,27 @@ K1, B = 1.2, 0.75
 
 STREET, PLAIN = "street", "plain"
 
+# Names in a block: two to this power.
+BLOCK_BITS = 6
+# Blocks that a query scores in the first round, and how many times as many in each later one.
+FIRST_BLOCKS, MORE_BLOCKS = 8, 4
+# What sums in another order may differ by.
+ROUNDING = 1e-9
+
 
 @dataclass
 class SearchIndex:
-    """``names`` and ``postings`` per name, and the first documents of every name."""
+    """``names`` and ``postings`` per name, the first documents of every name, and what blocks of names can score.
+
+    ``blocks`` is (block, first_id); ``bounds`` is (field, term, block, tf, dl) with the highest frequency and the
+    least length of the names that have the term.
+    """
 
     names: DataFrame
     postings: DataFrame
     documents: DataFrame
+    blocks: DataFrame
+    bounds: DataFrame
 
     def crowded(self) -> bool:
         """Whether there are enough names for one term to have too many for one task."""
@@ -61,7 +80,7 @@ def plain_terms(names: DataFrame) -> DataFrame:
 
 
 def build_postings(names: DataFrame) -> DataFrame:
-    """(field, term, nid, tf, at, dl, docs): where a term occurs, and name statistics."""
+    """(field, term, nid, block, tf, at, dl, docs): where a term occurs, and name statistics."""
     occurrences = (
         street_terms(names).withColumn("field", F.lit(STREET))
         .unionByName(plain_terms(names).withColumn("field", F.lit(PLAIN)))
@@ -71,23 +90,36 @@ def build_postings(names: DataFrame) -> DataFrame:
         occurrences.groupBy("field", "nid", "term")
         .agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_set("pos")).alias("at"))
         .join(lengths, ["field", "nid"])
-        .join(names.select("nid", "docs"), "nid")
+        .join(names.select("nid", "block", "docs"), "nid")
     )
 
 
+def block_bounds(postings: DataFrame) -> DataFrame:
+    """(field, term, block, tf, dl): the highest frequency and the least length in a block."""
+    return postings.groupBy("field", "term", "block").agg(F.max("tf").alias("tf"), F.min("dl").alias("dl"))
+
+
+def name_blocks(names: DataFrame) -> DataFrame:
+    """Names numbered by how many words they have, then by first document, and cut into blocks.
+
+    Names of one length weigh a term alike, so a block's bound is close to what its names score.
+    """
+    words = F.size(F.expr(an.plain_words("nombre_cal")))
+    numbered = names.withColumn("words", words).orderBy("words", "first_id").drop("words")
+    return numbered.withColumn("nid", F.monotonically_increasing_id()).withColumn("block", F.shiftright("nid", BLOCK_BITS))
+
+
 def search_index(docs: DataFrame) -> SearchIndex:
     """Index of (id, numero_cal, nombre_cal, …); documents without a name match nothing."""
     named = docs.filter(F.coalesce(F.col("nombre_cal"), F.lit("")) != "")
-    names = settle(
-        named.groupBy("nombre_cal")
-        .agg(F.count(F.lit(1)).alias("docs"), F.min("id").alias("first_id"))
-        .withColumn("nid", F.monotonically_increasing_id()),
-        "search-names",
-    )
+    grouped = named.groupBy("nombre_cal").agg(F.count(F.lit(1)).alias("docs"), F.min("id").alias("first_id"))
+    names = settle(name_blocks(grouped), "search-names")
     by_id = Window.partitionBy("nombre_cal").orderBy("id")
     # An answer looks at 200 documents at most, so later ones of a name are never reached.
     first = named.withColumn("_at", F.row_number().over(by_id)).filter(F.col("_at") <= MAX_FETCH).drop("_at")
-    return SearchIndex(names, settle(build_postings(names), "postings"), first)
+    postings = settle(build_postings(names), "postings")
+    blocks = names.groupBy("block").agg(F.min("first_id").alias("first_id"))
+    return SearchIndex(names, postings, first, settle(blocks, "name-blocks"), settle(block_bounds(postings), "block-bounds"))
 
 
 def prepare_texts(texts: DataFrame) -> DataFrame:
@@ -182,69 +214,111 @@ def field_stats(postings: DataFrame) -> dict[str, tuple[int, float]]:
 class Weighted:
     """Postings of some terms with their BM25 weight, and how many rows a term has.
 
-    Without sizes no term has many.
+    Without sizes no term has many. ``row_id`` tells the rows of a term apart.
     """
 
     rows: DataFrame
     sizes: DataFrame | None
+    row_id: str = "nid"
 
     def of(self, asked: DataFrame, key: str = "term") -> DataFrame:
-        """Joined to query rows by term. A term of very many names is spread over tasks."""
+        """Joined to query rows by term, and by block where the query rows name one.
+
+        A term of very many rows is spread over tasks; within one block it has few.
+        """
+        rows = self.rows.withColumnRenamed("term", key)
+        if "block" in asked.columns:
+            return rows.join(asked, [key, "block"])
         sizes = None if self.sizes is None else self.sizes.withColumnRenamed("term", key)
-        return spread_lookup(self.rows.withColumnRenamed("term", key), asked, sizes, [key], F.col("nid"), "inner")
+        return spread_lookup(rows, asked, sizes, [key], F.col(self.row_id), "inner")
 
 
 def weighted_postings(
     postings: DataFrame, field: str, terms: DataFrame, stats: dict, crowded: bool = True
 ) -> Weighted:
+    return weighted_with_bounds(postings, None, field, terms, stats, crowded)[0]
+
+
+def weighted_with_bounds(
+    postings: DataFrame, bounds: DataFrame | None, field: str, terms: DataFrame, stats: dict, crowded: bool = True
+) -> tuple[Weighted, Weighted | None]:
+    """The weights of the postings of ``terms``, and what they cannot exceed in each block."""
     total, mean = stats.get(field, (1, 1.0))
     kept = postings.filter(F.col("field") == field).join(terms, "term", "left_semi")
     spread = kept.groupBy("term").agg(F.sum("docs").alias("docs_with"), F.count(F.lit(1)).alias("n"))
     sizes = settle(spread, "term-sizes") if crowded else None
-    rows = (
-        spread_lookup(kept, (spread if sizes is None else sizes).drop("n"), sizes, ["term"], F.col("nid"))
-        .withColumn("idf", idf(F.col("docs_with"), F.lit(total)))
-        .withColumn("mean", F.lit(float(mean)))
-        .withColumn("weight", F.col("idf") * saturation(F.col("tf"), F.col("dl"), F.col("mean")))
-        .select("term", "nid", "tf", "at", "dl", "mean", "idf", "weight")
-    )
-    return Weighted(settle(rows, "term-weights"), sizes)
+    counted = (spread if sizes is None else sizes).drop("n")
 
+    def weighed(rows: DataFrame, row_sizes: DataFrame | None, row_id: str) -> DataFrame:
+        return (
+            spread_lookup(rows, counted, row_sizes, ["term"], F.col(row_id))
+            .withColumn("idf", idf(F.col("docs_with"), F.lit(total)))
+            .withColumn("mean", F.lit(float(mean)))
+            .withColumn("weight", F.col("idf") * saturation(F.col("tf"), F.col("dl"), F.col("mean")))
+        )
 
-def phrase_scores(entries: DataFrame, weighted: Weighted) -> DataFrame:
-    """Names that hold all query positions in order within the slop; tighter is better."""
-    need = entries.groupBy("qid").agg(F.count_distinct("pos").alias("need"))
-    hits = (
-        weighted.of(entries)
-        .select("qid", "nid", "term", "pos", "idf", "dl", "mean", F.explode("at").alias("dpos"))
-        .withColumn("delta", F.col("dpos") - F.col("pos"))
-    )
-    covered = Window.partitionBy("qid", "nid").orderBy("delta")
-    width = F.lit(None).cast("int")
-    for w in range(SLOP, -1, -1):
-        frame = covered.rangeBetween(0, w)
-        positions = F.size(F.collect_set("pos").over(frame))
-        places = F.size(F.collect_set(F.struct("term", "dpos")).over(frame))
+    own = weighed(kept, sizes, "nid").select("term", "nid", "block", "tf", "at", "dl", "mean", "idf", "weight")
+    weighted = Weighted(settle(own, "term-weights"), sizes)
+    if bounds is None:
+        return weighted, None
+    held = bounds.filter(F.col("field") == field).join(terms, "term", "left_semi")
+    block_sizes = settle(held.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "bound-sizes") if crowded else None
+    most = weighed(held, block_sizes, "block").select("term", "block", "dl", "mean", "idf", "weight")
+    return weighted, Weighted(settle(most, "term-bounds"), block_sizes, "block")
+
+
+def within(asked: DataFrame, pairs: DataFrame | None) -> DataFrame:
+    """Query rows for the blocks that a query is to be scored in; for all names without ``pairs`` (qid, block)."""
+    return asked if pairs is None else asked.join(pairs, "qid")
+
+
+def _narrowest() -> str:
+    """SQL text: the least width of a stretch of ``places`` that holds all query positions, null if none does.
+
+    One sweep over the places in order: the stretch that ends at a place keeps those at most the slop before it.
+    """
+
+    def covers(width: int) -> str:
+        near = f"filter(w, x -> x.delta >= h.delta - {width})"
         # Repeated terms need as many places of their own.
-        width = F.when((positions == F.col("need")) & (places >= F.col("need")), F.lit(w)).otherwise(width)
-    found = hits.join(need, "qid").withColumn("width", width)
-    per_position = found.groupBy("qid", "nid", "pos", "dl", "mean").agg(
-        F.max("idf").alias("idf"), F.min("width").alias("width")
+        return (
+            f"size(array_distinct(transform({near}, x -> x.pos))) = need"
+            f" AND size(array_distinct(transform({near}, x -> struct(x.term, x.dpos)))) >= need"
+        )
+
+    found = "CASE " + " ".join(f"WHEN {covers(n)} THEN {n}" for n in range(SLOP + 1)) + " END"
+    stretch = f"concat(filter(acc.w, x -> x.delta >= h.delta - {SLOP}), array(h))"
+    step = f"transform(array({stretch}), w -> struct(w AS w, least(acc.best, {found}) AS best))[0]"
+    start = "struct(slice(places, 1, 0) AS w, CAST(NULL AS INT) AS best)"
+    return f"aggregate(places, {start}, (acc, h) -> {step}, acc -> acc.best)"
+
+
+def phrase_scores(entries: DataFrame, weighted: Weighted, pairs: DataFrame | None = None) -> DataFrame:
+    """Names that hold all query positions in order within the slop; tighter is better."""
+    need = entries.groupBy("qid").agg(F.count_distinct("pos").cast("int").alias("need"))
+    per_name = (
+        weighted.of(within(entries, pairs))
+        .groupBy("qid", "nid")
+        .agg(F.collect_list(F.struct("pos", "term", "at", "idf")).alias("words"), F.min("dl").alias("dl"), F.min("mean").alias("mean"))
+        .withColumn("asked", F.array_distinct(F.transform("words", lambda w: w["pos"])))
     )
-    best = per_position.groupBy("qid", "nid", "dl", "mean").agg(
-        F.sum("idf").alias("idf"), F.min("width").alias("width")
+    places = F.expr("array_sort(flatten(transform(words, w -> transform(w.at, d -> struct(d - w.pos AS delta, w.pos AS pos, d AS dpos, w.term AS term)))))")
+    idfs = F.expr("aggregate(transform(asked, p -> array_max(transform(filter(words, w -> w.pos = p), w -> w.idf))), 0D, (a, x) -> a + x)")
+    found = (
+        per_name.join(need, "qid").filter(F.size("asked") == F.col("need"))
+        .withColumn("places", places)
+        .withColumn("width", F.expr(_narrowest()))
+        .filter(F.col("width").isNotNull())
     )
     freq = 1.0 / (1.0 + F.col("width"))
-    return best.filter(F.col("width").isNotNull()).select(
-        "qid", "nid", (F.col("idf") * saturation(freq, F.col("dl"), F.col("mean")) * PHRASE_BOOST).alias("score")
-    )
+    return found.select("qid", "nid", (idfs * saturation(freq, F.col("dl"), F.col("mean")) * PHRASE_BOOST).alias("score"))
 
 
-def _prefix_keys(postings: DataFrame) -> DataFrame:
-    """(field, key, nid): every beginning that a last query word can ask for."""
+def _prefix_keys(postings: DataFrame, *row_id: str) -> DataFrame:
+    """(field, key, and what tells rows apart): every beginning that a last query word can ask for."""
     street = postings.filter(F.col("field") == STREET).select(
         "field",
-        "nid",
+        *row_id,
         F.explode(
             F.when(F.length("term") == an.EDGE_MIN, F.expr("array(left(term, 1), left(term, 2), term)")).otherwise(
                 F.array("term")
@@ -254,7 +328,7 @@ def _prefix_keys(postings: DataFrame) -> DataFrame:
     # A query has at most 100 characters, so longer beginnings cannot be asked for.
     plain = postings.filter(F.col("field") == PLAIN).select(
         "field",
-        "nid",
+        *row_id,
         F.explode(F.expr(f"transform(sequence(1, least(length(term), {checks.MAX_TEXT})), n -> left(term, n))")).alias(
             "key"
         ),
@@ -262,39 +336,66 @@ def _prefix_keys(postings: DataFrame) -> DataFrame:
     return street.unionByName(plain)
 
 
-def prefix_scores(tokens: DataFrame, weighted: dict[str, Weighted], postings: DataFrame) -> DataFrame:
-    """All words but the last exactly, the last as a beginning; the fields add up.
+@dataclass
+class Beginnings:
+    """(field, key, rows' ids) of the beginnings that some query asks for, and how many rows each has."""
 
-    ``tokens`` is (field, qid, pos, term, last).
-    """
+    rows: DataFrame
+    sizes: DataFrame | None
+    row_id: str
+
+    def of(self, asked: DataFrame) -> DataFrame:
+        if "block" in asked.columns:
+            return self.rows.join(asked, ["field", "key", "block"])
+        return spread_lookup(self.rows, asked, self.sizes, ["field", "key"], F.col(self.row_id), "inner")
+
+
+def last_words(tokens: DataFrame) -> DataFrame:
+    return tokens.filter("last").select("field", "qid", F.col("term").alias("key")).distinct()
+
+
+def beginnings(tokens: DataFrame, postings: DataFrame, crowded: bool, *row_id: str) -> Beginnings:
+    wanted = last_words(tokens).select("field", "key").distinct()
+    keys = settle(_prefix_keys(postings, *row_id).join(wanted, ["field", "key"], "left_semi").distinct(), "beginnings")
+    sizes = None
+    if crowded:
+        sizes = settle(keys.groupBy("field", "key").agg(F.count(F.lit(1)).alias("n")), "beginning-sizes")
+    return Beginnings(keys, sizes, row_id[0])
+
+
+def prefix_parts(tokens: DataFrame, weighted: dict[str, Weighted], begun: Beginnings, pairs: DataFrame | None) -> DataFrame:
+    """(qid, row id, weight): the words but the last exactly, and 1 for each field that begins with the last."""
     parts = []
     for field, w in weighted.items():
         exact = tokens.filter((F.col("field") == field) & ~F.col("last")).select("qid", "pos", "term")
-        parts.append(w.of(exact).select(F.lit(field).alias("field"), "qid", "nid", "weight"))
-    asked = tokens.filter("last").select("field", "qid", F.col("term").alias("key")).distinct()
-    wanted = asked.select("field", "key").distinct()
-    keys = _prefix_keys(postings).join(wanted, ["field", "key"], "left_semi").distinct()
-    sizes = None
-    if weighted[STREET].sizes is not None:
-        keys = settle(keys, "beginnings")
-        sizes = settle(keys.groupBy("field", "key").agg(F.count(F.lit(1)).alias("n")), "beginning-sizes")
-    begun = spread_lookup(keys, asked, sizes, ["field", "key"], F.col("nid"), "inner")
-    parts.append(begun.select("field", "qid", "nid").distinct().withColumn("weight", F.lit(1.0)))
-    return (
-        reduce(DataFrame.unionByName, parts)
-        .groupBy("qid", "nid").agg((F.sum("weight") * PREFIX_BOOST).alias("score"))
-    )
+        parts.append(w.of(within(exact, pairs)).select("qid", w.row_id, "weight"))
+    met = begun.of(within(last_words(tokens), pairs)).select("field", "qid", begun.row_id).distinct()
+    return reduce(DataFrame.unionByName, [*parts, met.select("qid", begun.row_id, F.lit(1.0).alias("weight"))])
 
 
-def fuzzy_scores(entries: DataFrame, expansions: DataFrame, weighted: Weighted) -> DataFrame:
+def prefix_scores(
+    tokens: DataFrame, weighted: dict[str, Weighted], postings: DataFrame | Beginnings, pairs: DataFrame | None = None
+) -> DataFrame:
+    """All words but the last exactly, the last as a beginning; the fields add up.
+
+    ``tokens`` is (field, qid, pos, term, last).
+    """
+    if isinstance(postings, DataFrame):
+        postings = beginnings(tokens, postings, weighted[STREET].sizes is not None, "nid", "block")
+    parts = prefix_parts(tokens, weighted, postings, pairs)
+    return parts.groupBy("qid", "nid").agg((F.sum("weight") * PREFIX_BOOST).alias("score"))
+
+
+def fuzzy_scores(entries: DataFrame, expansions: DataFrame, weighted: Weighted, pairs: DataFrame | None = None) -> DataFrame:
     """Per query word the best index term within its edit budget, summed over the words."""
     near = F.least(F.length("term"), F.length("found"))
     scaled = expansions.withColumn("scale", 1.0 - F.col("edits") / near).filter(F.col("scale") > 0)
+    asked = entries.join(scaled, "term").select("qid", "pos", "found", "term", "scale")
     per_word = (
-        weighted.of(entries.join(scaled, "term").select("qid", "pos", "found", "term", "scale"), "found")
-        .groupBy("qid", "nid", "pos", "term").agg(F.max(F.col("weight") * F.col("scale")).alias("best"))
+        weighted.of(within(asked, pairs), "found")
+        .groupBy("qid", weighted.row_id, "pos", "term").agg(F.max(F.col("weight") * F.col("scale")).alias("best"))
     )
-    return per_word.groupBy("qid", "nid").agg((F.sum("best") * FUZZY_BOOST).alias("score"))
+    return per_word.groupBy("qid", weighted.row_id).agg((F.sum("best") * FUZZY_BOOST).alias("score"))
 
 
 @dataclass
@@ -305,7 +406,9 @@ class ClauseInputs:
     tokens: DataFrame
     expansions: DataFrame
     weighted: dict[str, Weighted]
+    bounds: dict[str, Weighted]
     stats: dict[str, tuple[int, float]]
+    crowded: bool
 
 
 def clause_inputs(texts: DataFrame, index: SearchIndex) -> ClauseInputs:
@@ -327,36 +430,94 @@ def clause_inputs(texts: DataFrame, index: SearchIndex) -> ClauseInputs:
     found = expansions.select(F.col("found").alias("term")).distinct()
     plain_asked = tokens.filter(F.col("field") == PLAIN).select("term").distinct()
     crowded = index.crowded()
-    weighted = {
-        STREET: weighted_postings(index.postings, STREET, found, stats, crowded),
-        PLAIN: weighted_postings(index.postings, PLAIN, plain_asked, stats, crowded),
-    }
-    return ClauseInputs(entries, tokens, expansions, weighted, stats)
+    asked = {STREET: found, PLAIN: plain_asked}
+    both = {f: weighted_with_bounds(index.postings, index.bounds, f, t, stats, crowded) for f, t in asked.items()}
+    weighted, bounds = ({f: b[i] for f, b in both.items()} for i in (0, 1))
+    return ClauseInputs(entries, tokens, expansions, weighted, bounds, stats, crowded)
 
 
-def score_names(parts: ClauseInputs, index: SearchIndex) -> DataFrame:
-    """(qid, nid, score) of every name that at least one clause matches."""
+def score_names(
+    parts: ClauseInputs, index: SearchIndex, pairs: DataFrame | None = None, begun: Beginnings | None = None
+) -> DataFrame:
+    """(qid, nid, score) of every name that at least one clause matches, in the blocks of ``pairs`` or in all."""
     clauses = (
-        phrase_scores(parts.entries, parts.weighted[STREET])
-        .unionByName(prefix_scores(parts.tokens, parts.weighted, index.postings))
-        .unionByName(fuzzy_scores(parts.entries, parts.expansions, parts.weighted[STREET]))
+        phrase_scores(parts.entries, parts.weighted[STREET], pairs)
+        .unionByName(prefix_scores(parts.tokens, parts.weighted, begun or index.postings, pairs))
+        .unionByName(fuzzy_scores(parts.entries, parts.expansions, parts.weighted[STREET], pairs))
     )
     return clauses.groupBy("qid", "nid").agg(F.round(F.sum("score"), 6).alias("score"))
 
 
-def rank_documents(scores: DataFrame, index: SearchIndex) -> DataFrame:
+# --- the cut ---------------------------------------------------------------
+
+def phrase_bounds(entries: DataFrame, bounds: Weighted) -> DataFrame:
+    """(qid, block, score): what a phrase can add where a block has all query positions."""
+    need = entries.groupBy("qid").agg(F.count_distinct("pos").alias("need"))
+    per_position = bounds.of(entries).groupBy("qid", "block", "pos").agg(
+        F.max("idf").alias("idf"), F.min("dl").alias("dl"), F.min("mean").alias("mean")
+    )
+    # A name with all positions is at least as long as the shortest that has the rarest of them.
+    whole = per_position.groupBy("qid", "block").agg(
+        F.count(F.lit(1)).alias("held"), F.sum("idf").alias("idf"), F.max("dl").alias("dl"), F.min("mean").alias("mean")
+    )
+    most = F.col("idf") * saturation(F.lit(1.0), F.col("dl"), F.col("mean")) * PHRASE_BOOST
+    return whole.join(need, "qid").filter("held = need").select("qid", "block", most.alias("score"))
+
+
+def score_bounds(parts: ClauseInputs, index: SearchIndex) -> DataFrame:
+    """(qid, block, bound, first_id): no name of the block scores more; blocks without a match have no row."""
+    begun = beginnings(parts.tokens, index.bounds, parts.crowded, "block")
+    prefix = prefix_parts(parts.tokens, parts.bounds, begun, None).groupBy("qid", "block").agg(
+        (F.sum("weight") * PREFIX_BOOST).alias("score")
+    )
+    clauses = (
+        phrase_bounds(parts.entries, parts.bounds[STREET])
+        .unionByName(prefix)
+        .unionByName(fuzzy_scores(parts.entries, parts.expansions, parts.bounds[STREET]))
+    )
+    added = clauses.groupBy("qid", "block").agg(F.round(F.sum("score") + ROUNDING, 6).alias("bound"))
+    return added.join(index.blocks, "block")
+
+
+def best_names(parts: ClauseInputs, index: SearchIndex) -> DataFrame:
+    """(qid, nid, score, first_id) of the 200 best names of every query, in answer order."""
+    in_order = Window.partitionBy("qid").orderBy(F.desc("score"), "first_id")
+
+    def best(scores: DataFrame) -> DataFrame:
+        return scores.withColumn("_at", F.row_number().over(in_order)).filter(F.col("_at") <= MAX_FETCH)
+
+    def placed(scores: DataFrame) -> DataFrame:
+        return scores.join(index.names.select("nid", "first_id"), "nid")
+
+    if index.blocks.count() <= FIRST_BLOCKS:
+        return best(placed(score_names(parts, index))).drop("_at")
+    open_ = settle(score_bounds(parts, index), "score-bounds")
+    begun = beginnings(parts.tokens, index.postings, parts.crowded, "nid", "block")
+    promising = Window.partitionBy("qid").orderBy(F.desc("bound"), "first_id", "block")
+    top, now = None, FIRST_BLOCKS
+    while True:
+        pairs = settle(
+            open_.withColumn("_at", F.row_number().over(promising)).filter(F.col("_at") <= now).select("qid", "block"),
+            "scored-blocks",
+        )
+        if top is not None and pairs.isEmpty():
+            return top.drop("_at")
+        scored = placed(score_names(parts, index, pairs, begun))
+        top = settle(best(scored if top is None else top.drop("_at").unionByName(scored.select("qid", "nid", "score", "first_id"))).select("qid", "nid", "score", "first_id", "_at"), "best-names")
+        last = top.filter(F.col("_at") == MAX_FETCH).select("qid", F.col("score").alias("least"), F.col("first_id").alias("least_id"))
+        beats = (F.col("bound") > F.col("least")) | ((F.col("bound") == F.col("least")) & (F.col("first_id") < F.col("least_id")))
+        left = open_.join(pairs, ["qid", "block"], "left_anti").join(last, "qid", "left")
+        open_ = settle(left.filter(F.col("least").isNull() | beats).drop("least", "least_id"), "open-blocks")
+        now *= MORE_BLOCKS
+
+
+def rank_documents(best: DataFrame, index: SearchIndex) -> DataFrame:
     """Per query the names in answer order, with the place of their first document.
 
-    The best 200 documents are taken before names are reduced to their first document,
-    so a name with many documents can crowd others out.
+    ``best`` has the 200 best names of a query. The best 200 documents are taken before names are reduced to their
+    first document, so a name with many documents can crowd others out.
     """
-    by_name = Window.partitionBy("qid").orderBy(F.desc("score"), "first_id")
-    top = (
-        scores.join(index.names, "nid")
-        .withColumn("_at", F.row_number().over(by_name))
-        .filter(F.col("_at") <= MAX_FETCH)
-        .select("qid", "nombre_cal", "score")
-    )
+    top = best.select("qid", "nid", "score").join(index.names.select("nid", "nombre_cal"), "nid").drop("nid")
     by_document = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     documents = (
         top.join(index.documents, "nombre_cal")
@@ -382,7 +543,7 @@ def search_suggest(requests: DataFrame, docs: DataFrame | SearchIndex) -> DataFr
     )
     counts = settle(asked.groupBy("qstr").agg(F.count(F.lit(1)).alias("n")), "search-texts")
     texts = settle(prepare_texts(counts.select("qstr")), "search-queries")
-    ranked = rank_documents(score_names(clause_inputs(texts, index), index), index)
+    ranked = rank_documents(best_names(clause_inputs(texts, index), index), index)
     answers = ranked.join(texts.select("qid", "qstr"), "qid").drop("qid")
     joined = spread_lookup(asked, answers, counts, ["qstr"], F.col("req_id"), "inner")
     fetched = F.least(F.col("limit") * FETCH_FACTOR, F.lit(MAX_FETCH))

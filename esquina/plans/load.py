@@ -81,6 +81,8 @@ def refresh_search(spark: SparkSession, store: Store) -> None:
     write_table(index.names, store.path("search_names"))
     write_table(index.postings, store.path("search_postings"))
     write_table(index.documents, store.path("search_documents"))
+    write_table(index.blocks, store.path("search_blocks"))
+    write_table(index.bounds, store.path("search_bounds"))
 
 
 def stored_search_index(spark: SparkSession, store: Store) -> SearchIndex:
@@ -88,4 +90,6 @@ def stored_search_index(spark: SparkSession, store: Store) -> SearchIndex:
         store.table(spark, "search_names"),
         store.table(spark, "search_postings"),
         store.table(spark, "search_documents"),
+        store.table(spark, "search_blocks"),
+        store.table(spark, "search_bounds"),
     )

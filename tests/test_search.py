@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from esquina.functions import analysis as an
 from esquina.operators import search
+from esquina.operators.stage import settle
 
 
 def stream(spark, text):
@@ -98,7 +99,6 @@ def test_phrase_beats_scattered_words(spark):
 def test_phrase_slop_and_repeats(spark):
     index = search.search_index(docs(spark, ["abc uuu vvv www xyz", "abc uuu vvv www zzz xyz", "abc xyz", "xyz abc", "abc"]))
     texts = search.prepare_texts(spark.createDataFrame([("abc xyz",), ("abc abc",)], "qstr string"))
-    from esquina.operators.stage import settle
     texts = settle(texts, "texts")
     parts = search.clause_inputs(texts, index)
     found = search.phrase_scores(parts.entries, parts.weighted[search.STREET])
@@ -115,3 +115,67 @@ def test_documents_of_one_name_crowd_out_others(spark, hot, request):
     table = docs(spark, ["Roca"] * 12 + ["Roca Norte"] * 3 + ["Roca Sur"])
     got = ask(spark, table, [(1, "roca", 2), (2, "roca", 3), (3, "roca", 10), (4, "roca", 60)])
     assert got[1] == ["Roca"] and got[2][0] == "Roca" and len(got[2]) == 2 and len(got[3]) == 3 and 4 not in got
+
+
+def many_names(n):
+    """Names that all have one word, few that have a second, and names of several lengths."""
+    rnd = random.Random(5)
+    words = ["costa", "norte", "roca", "luna", "verde", "plaza", "brown", "perez"]
+    names = [f"barrio {i}" if i % 3 else f"barrio {rnd.choice(words)} {i}" for i in range(n)]
+    return names + [f"barrio {w} del barrio" for w in words] + ["barrio"] * 5 + ["barrio luna"] * 300
+
+
+ASKED = ["barrio", "barri", "barrio luna", "luna barrio", "barrio 77", "bario lun", "verde roca", "nada", "barrio brown 1", "b"]
+
+
+def ranked(scores, names):
+    """The 200 best of each query, by brute force."""
+    out = {}
+    for q, nid, score in scores:
+        out.setdefault(q, []).append((-score, names[nid], nid))
+    return {q: [(nid, -s) for s, _, nid in sorted(rows)[: search.MAX_FETCH]] for q, rows in out.items()}
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_cut_by_block_bounds_is_exact_and_scores_little(spark, hot, request, monkeypatch):
+    if hot:
+        request.getfixturevalue("hot_rows")
+    index = search.search_index(docs(spark, many_names(4000)))
+    texts = settle(search.prepare_texts(spark.createDataFrame([(q,) for q in ASKED], "qstr string")), "texts")
+    parts = search.clause_inputs(texts, index)
+    every = [tuple(r) for r in search.score_names(parts, index).select("qid", "nid", "score").collect()]
+    bounds = {(r.qid, r.block): r.bound for r in search.score_bounds(parts, index).collect()}
+    assert all(score <= bounds[q, nid >> search.BLOCK_BITS] for q, nid, score in every)
+    assert {(q, nid >> search.BLOCK_BITS) for q, nid, _ in every} <= set(bounds)
+
+    scored = []
+    whole = search.score_names
+    monkeypatch.setattr(search, "score_names", lambda *a: scored.append(settle(whole(*a), "scored")) or scored[-1])
+    found = {}
+    for r in sorted(search.best_names(parts, index).collect(), key=lambda r: (-r.score, r.first_id)):
+        found.setdefault(r.qid, []).append((r.nid, r.score))
+    assert found == ranked(every, {r.nid: r.first_id for r in index.names.collect()})
+    # "barrio" is in all 4000 names; a query that has it is answered from a few blocks.
+    per_query = {}
+    for r in [r for df in scored for r in df.groupBy("qid").count().collect()]:
+        per_query[r["qid"]] = per_query.get(r["qid"], 0) + r["count"]
+    common = texts.filter("qstr = 'barrio'").first().qid
+    assert sum(q == common for q, *_ in every) > 4000 and per_query[common] <= 1000
+    # Bounds are looser where the words of a query lie in different names of a block.
+    assert sum(per_query.values()) < len(every) / 2
+
+
+def test_phrase_of_a_name_with_very_many_repeats(spark):
+    index = search.search_index(docs(spark, ["abc xyz " * 1000, "xyz abc abc", "abc uno dos tres cuatro xyz"]))
+    texts = settle(search.prepare_texts(spark.createDataFrame([("abc xyz",), ("xyz abc abc",)], "qstr string")), "texts")
+    parts = search.clause_inputs(texts, index)
+    found = search.phrase_scores(parts.entries, parts.weighted[search.STREET]).join(texts.select("qid", "qstr"), "qid").join(index.names, "nid")
+    got = {(r.qstr, r.nombre_cal[:8]) for r in found.collect()}
+    assert got == {("abc xyz", "abc xyz "), ("abc xyz", "xyz abc "), ("xyz abc abc", "xyz abc "), ("xyz abc abc", "abc xyz ")}
+
+
+def test_blocks_hold_names_of_like_lengths(spark):
+    index = search.search_index(docs(spark, many_names(500)))
+    rows = index.names.withColumn("n", F.size(F.split("nombre_cal", " "))).groupBy("block").agg(F.count("*").alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi")).collect()
+    assert max(r.c for r in rows) <= 1 << search.BLOCK_BITS
+    assert sum(r.lo != r.hi for r in rows) <= 5
