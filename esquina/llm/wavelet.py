@@ -41,24 +41,29 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
         depth = max(1, int(ids.max()).bit_length()) if len(ids) else 1
         planes, zeros = [], []
+        # Half the bytes are moved where 16 bits hold every id; two arrays take turns.
+        ids = ids.astype(np.uint16 if depth <= 16 else np.uint32)
+        other = np.empty_like(ids)
         for bit in range(depth - 1, -1, -1):
-            ones = (ids >> bit & 1).astype(bool)
+            ones = (ids & ids.dtype.type(1 << bit)) != 0
             planes.append(np.packbits(ones))
-            low = ids[~ones]
-            zeros.append(len(low))
-            ids = np.concatenate([low, ids[ones]])
+            low = len(ids) - int(np.count_nonzero(ones))
+            zeros.append(low)
+            np.compress(~ones, ids, out=other[:low])
+            np.compress(ones, ids, out=other[low:])
+            ids, other = other, ids
         return cls(planes, zeros, len(ids))
 
     def tokens(self) -> np.ndarray:
         """All ids in order, from the lowest plane up."""
-        ids = np.zeros(self.size, np.uint32)
+        ids = np.zeros(self.size, np.uint16 if len(self.planes) <= 16 else np.uint32)
         for bit, (plane, low) in enumerate(zip(reversed(self.planes), reversed(self.zeros))):
             ones = np.unpackbits(plane, count=self.size).view(bool)
-            ids[low:] |= np.uint32(1 << bit)
+            ids[low:] |= ids.dtype.type(1 << bit)
             above = np.empty_like(ids)
             above[~ones], above[ones] = ids[:low], ids[low:]
             ids = above
-        return ids
+        return ids.astype(np.uint32)
 
     def _ones(self, level: int, i: np.ndarray) -> np.ndarray:
         """Ones in the first ``i`` bits of a plane."""

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from esquina.llm import ann, bpe, html_tree, language, lines, neardup, packing, quality, substrings, wavelet
+from esquina.llm import ann, bpe, html_tree, language, lines, neardup, packing, quality, substrings, vocab, wavelet
 from esquina.llm.ship import ship
 
 # The last columns bear names that operators might use inside.
@@ -143,10 +144,27 @@ def test_byte_bpe_round_trip(docs, empty, rows):
 
 def encoded(rows, name, end):
     exact = Tokenizer.from_file(public_tokenizers.path(name))
-    exact.encode_special_tokens = True
     return {d: exact.encode(t or "", add_special_tokens=False).ids + [end] for d, t, *_ in rows}
 
 
+SPECIAL = ["hello <|endoftext|> world", "<|endoftext|>", "<|startoftext|> a  b\n\nc<|endoftext|>", "mark \x01 in\x01 a text", " a  b\n\n c\td\u00a0 e", "x\n", " "]
+
+
+@pytest.mark.parametrize("name, spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_units_give_the_ids_of_the_library(name, spaced, rows, monkeypatch):
+    monkeypatch.setattr(vocab, "HELD_BYTES", 4000)  # so that generations change
+    coder = vocab.UnitIds(public_tokenizers.path(name), spaced)
+    texts = [t for _, t, *_ in rows] + SPECIAL + ["Wörter, und.Zeichen!\nZeile|zwei"] * 3
+    want = list(encoded([(i, t) for i, t in enumerate(texts)], name, 0).values())
+    for _ in range(3):
+        for step in (1, 7, len(texts)):
+            for k in range(0, len(texts), step):
+                ids, at = coder.encode(pa.array(texts[k : k + step], pa.string()))
+                assert [[*ids[i:j].tolist(), 0] for i, j in zip(at[:-1], at[1:])] == want[k : k + step]
+    assert coder.held.young[0].nbytes < 40_000
+    assert coder.encode(pa.array([], pa.string()))[1].tolist() == [0]
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
