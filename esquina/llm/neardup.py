@@ -3,10 +3,12 @@
 Documents with equal shingle sets form a class, which takes part once. Classes that share a band key meet in a
 bucket. Instead of all pairs of a bucket, a few members at a time, the pivots, are compared with the members of other
 components; links found so far join components, and a bucket with one component left is done. Pivots leave their
-bucket, so in the end every pair of a bucket has been compared or is connected: no link is lost to the shortcut.
+bucket, and their number doubles from one a step, so that alike members are joined before many are compared. In the end
+every pair of a bucket has been compared or is connected.
 
 Most pairs that share a bucket are far from similar. One bit of each sketch coordinate goes with the members, and only
-pairs whose bits agree often enough are compared on their full sets.
+pairs whose bits agree often enough are compared on their full sets; that loses a pair at the threshold with a
+probability of 3e-7, beside the 5e-7 with which such a pair meets in no bucket.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ BANDS, ROWS = 48, 6  # a pair at 0.8 shares no band with probability 5e-7
 PERCENT = 80
 # Members of a bucket that are compared with its others in one step: one at first, which joins most, then twice as many
 # as in the step before. Up to the bound Spark cuts a ranking to its first rows before it shuffles them.
-FIRST_PIVOTS, MOST_PIVOTS = 64, 512
+MOST_PIVOTS = 512
 # Bits of a sketch that are compared first. At a similarity s a bit agrees with probability (1 + s) / 2; the bound lies
 # 5.5 deviations below the mean. Of 256 bits at 0.8 that is 204, which a pair misses with probability 3e-7.
 BITS, DEVIATIONS = 256, 5.5
@@ -61,15 +63,34 @@ def sketches(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS)
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, items``: the fingerprints of all distinct shingles."""
+    """``doc_id, set1, set2, items``: the fingerprints of all distinct shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Shingles(words)
         for b in batches:
-            items = pa.array([of.of(t.as_py()).view("i8") for t in b.column("text")], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), items], ["doc_id", "items"])
+            sets = [of.of(t.as_py()) for t in b.column("text")]
+            digests = [set_digest(s) for s in sets]
+            columns = [pa.array([d[i] for d in digests], pa.int64()) for i in (0, 1)]
+            items = pa.array([s.view("i8") for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns, items], ["doc_id", "set1", "set2", "items"])
 
-    return docs.mapInArrow(run, "doc_id long, items array<long>")
+    return docs.mapInArrow(run, "doc_id long, set1 long, set2 long, items array<long>")
+
+
+def with_node(rows: DataFrame, several: DataFrame | None) -> DataFrame:
+    """``rows`` (doc_id, set1, set2, …) with ``node``: the id, or for the ids ``several``, which have more than one set, a number of id and set."""
+    if several is None:
+        return rows.withColumn("node", F.col("doc_id"))
+    marked = rows.join(several.withColumn("_several", F.lit(True)), "doc_id", "left")
+    own = F.xxhash64(F.lit("node"), "doc_id", "set1", "set2")
+    return marked.withColumn("node", F.when(F.col("_several"), own).otherwise(F.col("doc_id"))).drop("_several")
+
+
+def ids_of_several_sets(some: DataFrame) -> DataFrame | None:
+    ranges = [f(c) for c in ("n_shingles", "set1", "set2") for f in (F.min, F.max)]
+    spread = some.groupBy("doc_id").agg(*[r.alias(f"r{i}") for i, r in enumerate(ranges)])
+    found = settle(spread.filter("r0 <> r1 OR r2 <> r3 OR r4 <> r5").select("doc_id"), "several-sets")
+    return None if found.isEmpty() else found
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -103,17 +124,23 @@ def agreeing() -> Column:
     return F.lit(BITS) - reduce(Column.__add__, differing)
 
 
-def class_components(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
+def class_components(docs: DataFrame, reps: DataFrame, several: DataFrame | None, words: int, percent: int) -> DataFrame:
     """``class_id, comp`` for the classes that share a bucket with another; ``reps`` has their sizes, bands and bits."""
     rows = reps.select("class_id", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
     met_once = settle(rows.join(shared, "key"), "met")
     members = met_once.select("class_id").distinct()
     buckets = settle(met_once.join(reps.select("class_id", "n", *BIT_COLUMNS), "class_id"), "buckets")
-    texts = id_and_text(docs).join(members, F.col("doc_id") == F.col("class_id"), "left_semi").dropDuplicates(["doc_id"])
-    sets = settle(shingle_sets(texts, words).withColumnRenamed("doc_id", "class_id"), "shingle-sets")
+    if several is None:
+        texts = docs.join(members, F.col("doc_id") == F.col("class_id"), "left_semi").dropDuplicates(["doc_id"])
+        found = shingle_sets(texts, words).withColumnRenamed("doc_id", "class_id")
+    else:
+        found = with_node(shingle_sets(docs.filter("doc_id IS NOT NULL"), words), several).withColumnRenamed("node", "class_id")
+        found = found.join(members, "class_id", "left_semi").dropDuplicates(["class_id"])
+    sets = settle(found.select("class_id", "items"), "shingle-sets")
     labels = settle(members.withColumn("comp", F.col("class_id")), "labels")
     step, pivots_now = 0, 1
+    compared: DataFrame | None = None
     while True:
         step += 1
         sizes = settle(labels.groupBy("comp").agg(F.count("*").alias("size")), "component-sizes")
@@ -133,41 +160,65 @@ def class_components(docs: DataFrame, reps: DataFrame, words: int, percent: int)
         )
         met = mixed.join(pivots, "key").filter(near)
         pairs = met.select(F.least("class_id", "p_class_id").alias("a"), F.greatest("class_id", "p_class_id").alias("b"))
-        links = settle(verified(settle(pairs.distinct(), "pairs"), sets, percent), "links")
+        # A pair that meets in several buckets is compared once.
+        fresh = pairs.distinct() if compared is None else pairs.distinct().join(compared, ["a", "b"], "left_anti")
+        fresh = settle(fresh, "pairs")
+        compared = fresh if compared is None else compared.unionByName(fresh)
+        links = settle(verified(fresh, sets, percent), "links")
         done = pivots.select("key", F.col("p_class_id").alias("class_id"))
         buckets = mixed.join(done, ["key", "class_id"], "left_anti").select("class_id", "n", *BIT_COLUMNS, "key")
         if not links.isEmpty():
             labels = settle(relabelled(labels, links), "labels")
-        pivots_now = max(FIRST_PIVOTS, min(2 * pivots_now, MOST_PIVOTS))
+        pivots_now = min(2 * pivots_now, MOST_PIVOTS)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, class_id, component_id, kept`` for every row of ``docs``.
 
     ``class_id`` is the least id with the same shingle set, ``component_id`` the least id reachable over links of
     ``percent`` similarity or more. A text with fewer than ``words`` words is one shingle; one without words, or
-    null, has an empty set, is linked with nothing and stands for itself. Rows that repeat an id share its
-    verdict; a row without an id is its own, unlinked document and kept.
+    null, has an empty set, is linked with nothing and stands for itself. Rows that repeat an id are one document:
+    what is linked to any of its texts is linked to it, and they share its verdict. A row without an id is its own,
+    unlinked document and kept.
     """
-    made = settle(sketches(docs, words), "sketches")
+    plain = id_and_text(docs, f"`{id_col}`", f"`{text_col}`")
+    made = settle(sketches(plain, words), "sketches")
     some = made.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     alike = ["n_shingles", "set1", "set2"]
+    several = ids_of_several_sets(some)
     firsts = [F.first(c).alias(c) for c in ("bands", *BIT_COLUMNS)]
-    classes = settle(some.groupBy(*alike).agg(F.min("doc_id").alias("class_id"), *firsts), "classes")
+    nodes = with_node(some, several)
+    least = F.min("doc_id").alias("least_id")
+    classes = settle(nodes.groupBy(*alike).agg(F.min("node").alias("class_id"), least, *firsts), "classes")
     reps = classes.select("class_id", F.col("n_shingles").alias("n"), "bands", *BIT_COLUMNS)
-    labels = class_components(docs, reps, words, percent)
-    of_class = classes.select(*alike, "class_id").join(labels, "class_id", "left")
-    known = made.select("doc_id", *alike).join(of_class, alike, "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.col("class_id"))
+    labels = class_components(plain, reps, several, words, percent)
+    of_class = classes.select(*alike, "class_id", "least_id").join(labels, "class_id", "left")
+    if several is not None:
+        of_class = joined_by_id(some, settle(of_class.withColumn("comp", F.coalesce("comp", "class_id")), "class-labels"), alike)
+    # From here on components bear the least id of their documents.
+    known = made.select("doc_id", *alike).join(of_class.drop("class_id"), alike, "left")
+    has_id = F.col("doc_id").isNotNull()
     return known.select(
         "doc_id",
         "n_shingles",
-        F.coalesce(own, "doc_id").alias("class_id"),
-        F.coalesce(F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "class_id")), "doc_id").alias("component_id"),
+        F.coalesce(F.when(has_id, F.col("least_id")), "doc_id").alias("class_id"),
+        F.coalesce(F.when(has_id, F.coalesce("comp", "least_id")), "doc_id").alias("component_id"),
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def keep_one(docs: DataFrame, words: int = 5, percent: int = PERCENT, id_col: str = "doc_id") -> DataFrame:
+def joined_by_id(some: DataFrame, of_class: DataFrame, alike: list[str]) -> DataFrame:
+    """``of_class`` with the components of texts that share an id joined, and named by their least id."""
+    per_row = some.select("doc_id", *alike).join(of_class.select(*alike, "comp"), alike)
+    ties = per_row.groupBy("doc_id").agg(F.min("comp").alias("a"), F.collect_set("comp").alias("all"))
+    links = ties.filter(F.size("all") > 1).select("a", F.explode("all").alias("b")).filter("a <> b")
+    tied = settle(components(links).select(F.col("node").alias("comp"), F.col("comp").alias("to")), "tied")
+    renamed = of_class.join(tied, "comp", "left").withColumn("comp", F.coalesce("to", "comp")).drop("to")
+    names = renamed.groupBy("comp").agg(F.min("least_id").alias("name"))
+    return renamed.join(names, "comp").drop("comp").withColumnRenamed("name", "comp")
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stand for their component, all columns as they are."""
-    gone = near_duplicates(docs, words, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    found = near_duplicates(docs, words, percent, id_col, text_col)
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(settle(gone, "near-copies"), F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")

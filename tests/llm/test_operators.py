@@ -294,3 +294,13 @@ def test_pipeline(spark, docs, rows, tmp_path):
         total[r.doc_id] += r.length
     untouched = {d: len(ids) for d, ids in encoded(left, "word_bpe_49k.json", 1).items() if removed[d][1] == 0}
     assert untouched and all(total[d] == n for d, n in untouched.items())
+
+
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    rng = random.Random(3)
+    a, b, c = (" ".join(rng.choices([f"w{i}" for i in range(500)], k=100)) for _ in range(3))
+    rows = [(1, a, "s", "en"), (1, b, "s", "en"), (2, b + " more", "s", "en"), (3, a + " more", "s", "en"), (4, c, "s", "en"), (7, c, "s", "en"), (7, b, "s", "en"), (9, "alone here", "s", "en"), (1, a, "s", "en")]
+    found = neardup.near_duplicates(table(spark, rows), words=2)
+    assert sorted((r.doc_id, r.component_id) for r in found.collect()) == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 1), (7, 1), (7, 1), (9, 9)]
+    renamed = table(spark, rows).withColumnRenamed("doc_id", "my id").withColumnRenamed("text", "my text")
+    assert sorted(r["my id"] for r in neardup.keep_one(renamed, words=2, id_col="my id", text_col="my text").collect()) == [1, 1, 1, 9]
