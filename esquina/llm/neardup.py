@@ -2,9 +2,10 @@
 
 Documents with equal shingle sets form a class, which takes part once. Classes that share a band key meet in a
 bucket. Instead of all pairs of a bucket, a few members at a time, the pivots, are compared with the members of other
-components; links found so far join components, and a bucket with one component left is done. Pivots leave their
-bucket, and their number doubles from one a step, so that alike members are joined before many are compared. In the end
-every pair of a bucket has been compared or is connected.
+components; links found so far join components, and a bucket with one component left is done. The first pivot of a
+bucket is its most central member, the one with most company over all its buckets: of copies of one text that are less
+alike to each other than to it, that is the text itself, and one step joins them. Pivots leave their bucket, so in the
+end every pair of a bucket has been compared or is connected.
 
 Most pairs that share a bucket are far from similar. One bit of each sketch coordinate goes with the members, and only
 pairs whose bits agree often enough are compared on their full sets; that loses a pair at the threshold with a
@@ -28,9 +29,9 @@ from esquina.operators.stage import settle
 
 BANDS, ROWS = 48, 6  # a pair at 0.8 shares no band with probability 5e-7
 PERCENT = 80
-# Members of a bucket that are compared with its others in one step: one at first, which joins most, then twice as many
-# as in the step before. Up to the bound Spark cuts a ranking to its first rows before it shuffles them.
-MOST_PIVOTS = 512
+# Members of a bucket that are compared with its others in the first steps; later twice as many as in the step before.
+# Up to the bound Spark cuts a ranking to its first rows before it shuffles them.
+FIRST_PIVOTS, MOST_PIVOTS = (1, 4, 64), 512
 # Bits of a sketch that are compared first. At a similarity s a bit agrees with probability (1 + s) / 2; the bound lies
 # 5.5 deviations below the mean. Of 256 bits at 0.8 that is 204, which a pair misses with probability 3e-7.
 BITS, DEVIATIONS = 256, 5.5
@@ -127,10 +128,12 @@ def agreeing() -> Column:
 def class_components(docs: DataFrame, reps: DataFrame, several: DataFrame | None, words: int, percent: int) -> DataFrame:
     """``class_id, comp`` for the classes that share a bucket with another; ``reps`` has their sizes, bands and bits."""
     rows = reps.select("class_id", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
+    shared = rows.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
     met_once = settle(rows.join(shared, "key"), "met")
-    members = met_once.select("class_id").distinct()
-    buckets = settle(met_once.join(reps.select("class_id", "n", *BIT_COLUMNS), "class_id"), "buckets")
+    central = settle(met_once.groupBy("class_id").agg(F.sum("members").alias("company")), "company")
+    members = central.select("class_id")
+    own = reps.select("class_id", "n", *BIT_COLUMNS).join(central, "class_id")
+    buckets = settle(met_once.drop("members").join(own, "class_id"), "buckets")
     if several is None:
         texts = docs.join(members, F.col("doc_id") == F.col("class_id"), "left_semi").dropDuplicates(["doc_id"])
         found = shingle_sets(texts, words).withColumnRenamed("doc_id", "class_id")
@@ -139,7 +142,7 @@ def class_components(docs: DataFrame, reps: DataFrame, several: DataFrame | None
         found = found.join(members, "class_id", "left_semi").dropDuplicates(["class_id"])
     sets = settle(found.select("class_id", "items"), "shingle-sets")
     labels = settle(members.withColumn("comp", F.col("class_id")), "labels")
-    step, pivots_now = 0, 1
+    step, pivots_now = 0, 0
     compared: DataFrame | None = None
     while True:
         step += 1
@@ -149,8 +152,9 @@ def class_components(docs: DataFrame, reps: DataFrame, several: DataFrame | None
         mixed = settle(placed.join(open_keys, "key"), "mixed-buckets")
         if mixed.isEmpty():
             return labels
+        pivots_now = FIRST_PIVOTS[step - 1] if step <= len(FIRST_PIVOTS) else min(2 * pivots_now, MOST_PIVOTS)
         # Members of small components first: they have the fewest links, and the others need not be pivots then.
-        first = Window.partitionBy("key").orderBy("size", F.xxhash64("class_id", F.lit(step)), "class_id")
+        first = Window.partitionBy("key").orderBy("size", F.desc("company"), F.xxhash64("class_id", F.lit(step)), "class_id")
         ranked = mixed.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= pivots_now)
         pivots = settle(ranked.select("key", *[F.col(c).alias(f"p_{c}") for c in ("class_id", "comp", "n", *BIT_COLUMNS)]), "pivots")
         near = (
@@ -166,10 +170,9 @@ def class_components(docs: DataFrame, reps: DataFrame, several: DataFrame | None
         compared = fresh if compared is None else compared.unionByName(fresh)
         links = settle(verified(fresh, sets, percent), "links")
         done = pivots.select("key", F.col("p_class_id").alias("class_id"))
-        buckets = mixed.join(done, ["key", "class_id"], "left_anti").select("class_id", "n", *BIT_COLUMNS, "key")
+        buckets = mixed.join(done, ["key", "class_id"], "left_anti").select("class_id", "n", "company", *BIT_COLUMNS, "key")
         if not links.isEmpty():
             labels = settle(relabelled(labels, links), "labels")
-        pivots_now = min(2 * pivots_now, MOST_PIVOTS)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
