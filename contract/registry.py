@@ -127,8 +127,25 @@ def _(spark, sf):
     return spark.read.parquet(path).groupBy("nombre_cal").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("s6_needs_import", """SELECT * FROM (VALUES ('first', true), ('unchanged', false), ('other settings', true),
-    ('other content', true)) t(step, needed)""")
+@query("s4_repeated_ids", s.ctes(s.STREETS) + """SELECT id, numero_cal, reason FROM (SELECT p_partkey % 500 AS id, lpad(CAST(p_partkey AS STRING), 8, '0') AS numero_cal,
+    CASE WHEN row_number() OVER (PARTITION BY p_partkey % 500 ORDER BY p_partkey) > 1 THEN 'repeated id' END AS reason FROM part) t""")
+def _(spark, sf):
+    path = fresh_path(spark, "repeated")
+    name = F.lpad(F.col("p_partkey").cast("string"), 8, "0")
+    feature = F.concat(
+        F.lit('{"type":"Feature","properties":{"numero_cal":"'), name, F.lit('"},"id":'), (F.col("p_partkey") % 500).cast("string"),
+        F.lit(',"geometry":{"type":"LineString","coordinates":[[0,0],[1,0]]}}'),
+    )
+    v.load(spark, sf, "part").select(feature.alias("value")).write.text(path)
+    loaded = geojson.read_geojson(spark, path, geojson.STREET_SCHEMA, layout="lines")
+    gone = loaded.rejects.select(
+        F.get_json_object("raw", "$.id").cast("long").alias("id"), F.get_json_object("raw", "$.properties.numero_cal").alias("numero_cal"), "reason"
+    )
+    return loaded.rows.select("id", "numero_cal", F.lit(None).cast("string").alias("reason")).unionByName(gone)
+
+
+@query("s6_needs_import", """SELECT * FROM (VALUES ('first', true), ('unchanged', false), ('other split size', false),
+    ('other settings', true), ('other content', true)) t(step, needed)""")
 def _(spark, sf):
     one, two, state = (fresh_path(spark, n) for n in ("features", "features", "state"))
     lines = _street_features(spark, sf)
@@ -138,6 +155,12 @@ def _(spark, sf):
     key = tables.load_key(spark, [one, one], config)
     steps = [("first", tables.needs_import(spark, key, state))]
     tables.write_state(spark, key, state)
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        steps.append(("other split size", tables.needs_import(spark, tables.load_key(spark, [one, one], config), state)))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
     for step, paths, cfg in (
         ("unchanged", [one, one], config),
         ("other settings", [one, one], tables.LoadConfig(promote=False)),

@@ -77,7 +77,8 @@ def read_geojson(
     ``layout="collection"`` reads any FeatureCollection, a file per task.
     ``layout="lines"`` reads one feature per line, bare or inside a collection written
     that way, and splits large files over many tasks; it needs an id in every feature.
-    Features without a usable geometry or id are rejected; ``on_error="fail"`` makes
+    Features without a usable geometry or id are rejected, and so are those that repeat an
+    id, in whatever file: the one whose text comes first is kept. ``on_error="fail"`` makes
     them fail the job instead.
     """
     read = {"collection": _features_of_collections, "lines": _features_of_lines}[layout]
@@ -92,7 +93,10 @@ def read_geojson(
         gm.parse_geojson(F.col("feature.geometry"), src).alias("geom"),
     ).withColumn("geom", gm.let(stored, gm.promote_multi) if promote else stored)
     reason = F.when(F.col("geom").isNull(), F.lit("geometry")).when(F.col("id").isNull(), F.lit("id"))
-    checked = parsed.withColumn("reason", reason)
+    # Only usable features compete for an id; the others stay apart from each other.
+    by_id = Window.partitionBy("id", F.when(reason.isNotNull(), F.xxhash64("raw"))).orderBy("raw")
+    repeated = F.when(F.row_number().over(by_id) > 1, F.lit("repeated id"))
+    checked = parsed.withColumn("reason", F.coalesce(reason, repeated))
     rejects = checked.filter(F.col("reason").isNotNull()).select("raw", "reason")
     if on_error == "fail":
         bad = F.raise_error(F.concat(F.lit("bad feature: "), F.col("raw")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import asdict, dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from esquina.functions import geometry as gm
@@ -61,21 +61,31 @@ class LoadConfig:
 
 
 def fingerprint(spark: SparkSession, path: str) -> str:
-    """A digest of a file, put together from SHA-256 digests of each line with its place.
+    """A digest of the content of a file, or of a folder's files in the order of their names.
 
-    The lines are hashed in parallel and added up, so a large file is no single task. A place is the split of the
-    file and the line's number in its task; line ends are part of a line.
+    The lines are hashed in parallel, each with its number in the whole content, and added up, so a large file is no
+    single task. The number comes from the counts of the splits before, so neither the size of the splits nor the
+    name of the file matters, but order, line ends and the last one do. One row per split is broadcast.
     """
     in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    place = F.concat_ws(":", F.input_file_name(), F.input_file_block_start(), in_task)
-    digest = F.sha2(F.concat_ws(" ", "place", "value"), 256)
+    split = [F.col(f"_metadata.{c}").alias(c) for c in ("file_path", "file_block_start", "file_size")]
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", *split, in_task.alias("at"))
+    splits = lines.groupBy("file_path", "file_block_start").agg(
+        F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), F.min("file_size").alias("file_size")
+    )
+    earlier = Window.orderBy("file_path", "file_block_start").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = splits.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first"))
+    starts = numbered.select(F.col("file_path").alias("in_file"), F.col("file_block_start").alias("in_split"), "before")
+    same = (F.col("file_path") == F.col("in_file")) & (F.col("file_block_start") == F.col("in_split"))
+    placed = lines.join(F.broadcast(starts), same)
+    digest = F.sha2(F.concat_ws(" ", F.col("at") + F.col("before"), "value"), 256)
     parts = [
         F.sum(F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).alias(f"part{i}")
         for i in range(4)
     ]
-    lines = spark.read.option("lineSep", "\n").text(path).select("value", place.alias("place"))
-    row = lines.agg(F.count(F.lit(1)).alias("lines"), *parts).first()
-    return ":".join(str(v) for v in row)
+    row = placed.agg(F.count(F.lit(1)).alias("lines"), *parts).first()
+    size = splits.groupBy("file_path").agg(F.min("file_size").alias("size")).agg(F.sum("size")).first()[0]
+    return ":".join(str(v) for v in (size, *row))
 
 
 def load_key(spark: SparkSession, paths: list[str], config: LoadConfig) -> str:

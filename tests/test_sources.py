@@ -110,3 +110,38 @@ def test_stream(spark, tmp_path):
     assert run() == 20
     requests.withColumn("req_id", F.col("req_id") + 100).write.mode("append").parquet(str(tmp_path / "in"))
     assert run() == 40
+
+
+def test_repeated_ids_are_rejected_across_files(spark, tmp_path):
+    rows = [feature(1, LINE, nombre_cal="beta"), feature(1, LINE, nombre_cal="alfa"), feature(2, LINE, nombre_cal="gama"), feature(2, None)]
+    for i, part in enumerate((rows, [feature(1, LINE, nombre_cal="alfa"), feature(None, LINE), feature(None, LINE)])):
+        (tmp_path / f"{i}.geojson").write_text("\n".join(json.dumps(f) for f in part))
+    loaded = geojson.read_geojson(spark, str(tmp_path), geojson.STREET_SCHEMA, layout="lines")
+    assert sorted((r["id"], r["nombre_cal"]) for r in loaded.rows.collect()) == [(1, "alfa"), (2, "gama")]
+    assert sorted(r["reason"] for r in loaded.rejects.collect()) == ["geometry", "id", "id", "repeated id", "repeated id"]
+    with pytest.raises(Exception, match="bad feature"):
+        geojson.read_geojson(spark, str(tmp_path), geojson.STREET_SCHEMA, layout="lines", on_error="fail").rows.collect()
+
+
+def test_fingerprint_depends_on_the_content_only(spark, tmp_path):
+    lines = [f"line {i % 50} {'x' * (i % 90)}" for i in range(4000)]
+
+    def key(name, text, **conf):
+        path = tmp_path / name
+        path.write_text(text, newline="")
+        for k, v in conf.items():
+            spark.conf.set(f"spark.sql.files.{k}", v)
+        try:
+            return tables.fingerprint(spark, str(path))
+        finally:
+            for k in conf:
+                spark.conf.unset(f"spark.sql.files.{k}")
+
+    whole = "\n".join(lines) + "\n"
+    one = key("a.json", whole)
+    assert key("b.json", whole) == one
+    assert key("c.json", whole, maxPartitionBytes="3000", openCostInBytes="10") == one
+    assert key("d.json", whole, maxPartitionBytes="17777", minPartitionNum="3") == one
+    swapped = [*lines[:100], lines[101], lines[100], *lines[102:]]
+    others = [key("e.json", "\n".join(swapped) + "\n"), key("f.json", whole[:-1]), key("g.json", whole.replace("\n", "\r\n")), key("h.json", ""), key("i.json", whole + "\n")]
+    assert len({one, *others}) == 6
