@@ -470,7 +470,7 @@ def _(spark, sf):
 def _(spark, sf):
     prepared, index = _prepared(spark, sf)
     # No first-names cut: all pairs, as the join finds them.
-    return names.substring_pairs(prepared.withColumn("cut", F.lit(False)), index, 0).select("qnorm", "nombre_cal")
+    return names.substring_pairs(prepared, index).select("qnorm", "nombre_cal")
 
 
 RES_BOTH = f"SELECT calle1 AS q FROM intersection_requests UNION SELECT calle2 FROM intersection_requests"

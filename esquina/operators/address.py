@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from esquina.functions import checks, geometry as gm, ranges as rg
 from esquina.functions import text as tx
-from esquina.operators.names import resolve_streets
+from esquina.operators.names import StreetIndex, indexed, resolve_streets
 from esquina.operators.skew import hot_rows, spread_lookup
 from esquina.operators.stage import settle
 
@@ -62,7 +62,7 @@ def best_blocks(streets: DataFrame) -> DataFrame:
     )
 
 
-def best_segments(points: DataFrame, streets: DataFrame) -> DataFrame:
+def best_segments(points: DataFrame, streets: DataFrame | StreetIndex) -> DataFrame:
     """(code, altura, fallback) to the id of the segment that is chosen.
 
     Segments in range come first, then the narrowest. Without one in range, ``fallback``
@@ -74,7 +74,9 @@ def best_segments(points: DataFrame, streets: DataFrame) -> DataFrame:
         rg.is_even(F.col("altura")).alias("even"),
         F.inline_outer(rg.pieces_of_number("altura", "fallback")),
     )
-    met = asked.join(best_blocks(streets), ["code", "even", "level", "block"])
+    index = indexed(streets)
+    blocks = best_blocks(index.streets) if index.blocks is None else index.blocks
+    met = asked.join(blocks, ["code", "even", "level", "block"])
     # A number meets at most one row per level, so that taking it by level keeps the
     # aggregation on plain numbers, which Spark hashes; structs it would sort.
     levels = [*range(rg.LEVELS), rg.ANY_NUMBER]
@@ -96,16 +98,22 @@ def best_segments(points: DataFrame, streets: DataFrame) -> DataFrame:
     )
 
 
-def place(picked: DataFrame, streets: DataFrame) -> DataFrame:
-    """(code, altura) with the chosen segment and its point in the struct ``seg``."""
-    even = rg.is_even(F.col("altura"))
-    payload = with_bounds(streets).select(
+def street_segments(streets: DataFrame) -> DataFrame:
+    """By code and id, what an answer tells of a segment, and its merged line."""
+    return with_bounds(streets).select(
         tx.norm_code(F.col("numero_cal")).alias("code"),
         "id", "numero_cal", "nombre_cal", "min_par", "max_par", "min_impar", "max_impar",
         F.col("geom").isNotNull().alias("has_geom"),
         F.col("geom.srid").alias("srid"),
         gm.merge_lines(gm.line_parts(F.col("geom"))).alias("line"),
     )
+
+
+def place(picked: DataFrame, streets: DataFrame | StreetIndex) -> DataFrame:
+    """(code, altura) with the chosen segment and its point in the struct ``seg``."""
+    even = rg.is_even(F.col("altura"))
+    index = indexed(streets)
+    payload = street_segments(index.streets) if index.segments is None else index.segments
     srid = F.col("srid")
     at = gm.interpolate(F.col("line"), rg.position(F.col("altura"), F.col("min_rango"), F.col("max_rango")))
     status = (
@@ -135,7 +143,7 @@ def street_key(code: Column, street: Column) -> Column:
     return F.when(code.isNotNull(), tx.norm_code(code)).otherwise(tx.null_to_empty(street))
 
 
-def attach_addresses(requests: DataFrame, streets: DataFrame, validate: bool = True) -> DataFrame:
+def attach_addresses(requests: DataFrame, streets: DataFrame | StreetIndex, validate: bool = True) -> DataFrame:
     """Every request row with its answer in the struct column ``answer``.
 
     Needs req_id and altura, and calle or numero_cal; fallback is optional. A code that
@@ -214,7 +222,7 @@ def attach_addresses(requests: DataFrame, streets: DataFrame, validate: bool = T
     return joined.select(*[F.col(c) for c in requests.columns], answer.alias("answer"))
 
 
-def geocode_addresses(requests: DataFrame, streets: DataFrame, validate: bool = True) -> DataFrame:
+def geocode_addresses(requests: DataFrame, streets: DataFrame | StreetIndex, validate: bool = True) -> DataFrame:
     """The fifteen answer fields and a status for every request."""
     return attach_addresses(requests, streets, validate).select("req_id", "answer.*")
 

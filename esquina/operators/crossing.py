@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from esquina.functions import checks, geometry as gm
 from esquina.functions import text as tx
 from esquina.operators.address import UNSUPPORTED
-from esquina.operators.names import resolve_streets
+from esquina.operators.names import StreetIndex, resolve_streets
 from esquina.operators.skew import hot_rows, spread_lookup
 from esquina.operators.stage import settle
 
@@ -73,7 +73,7 @@ def crossing_point(geom: Column) -> Column:
 
 
 def attach_crossings(
-    requests: DataFrame, streets: DataFrame, intersections: DataFrame, validate: bool = True
+    requests: DataFrame, streets: DataFrame | StreetIndex, intersections: DataFrame, validate: bool = True
 ) -> DataFrame:
     """Every request row with its answer in the struct column ``answer``."""
     if "nums_norm" not in intersections.columns:
@@ -134,7 +134,7 @@ def attach_crossings(
 
 
 def geocode_intersections(
-    requests: DataFrame, streets: DataFrame, intersections: DataFrame, validate: bool = True
+    requests: DataFrame, streets: DataFrame | StreetIndex, intersections: DataFrame, validate: bool = True
 ) -> DataFrame:
     """The five answer fields and a status for every request."""
     return attach_crossings(requests, streets, intersections, validate).select("req_id", "answer.*")

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from esquina.operators.address import geocode_addresses
 from esquina.operators.crossing import geocode_intersections
+from esquina.operators.names import StreetIndex
 
 
 def _start(stream: DataFrame, answer: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, once: bool) -> StreamingQuery:
@@ -30,15 +31,18 @@ def _start(stream: DataFrame, answer: Callable[[DataFrame], DataFrame], out: str
 
 
 def stream_addresses(
-    stream: DataFrame, streets: Callable[[], DataFrame], out: str, checkpoint: str, once: bool = False
+    stream: DataFrame, streets: Callable[[], DataFrame | StreetIndex], out: str, checkpoint: str, once: bool = False
 ) -> StreamingQuery:
-    """``streets`` is called for every batch, so a reload of the table is picked up."""
+    """``streets`` is called for every batch, so a reload of the table is picked up.
+
+    With a stored index (``plans.load.stored_street_index``) a batch builds no look-ups of its own.
+    """
     return _start(stream, lambda b: geocode_addresses(b, streets()), out, checkpoint, once)
 
 
 def stream_crossings(
     stream: DataFrame,
-    streets: Callable[[], DataFrame],
+    streets: Callable[[], DataFrame | StreetIndex],
     intersections: Callable[[], DataFrame],
     out: str,
     checkpoint: str,

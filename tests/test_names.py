@@ -27,9 +27,11 @@ def brute(queries, table, k):
 
 
 @pytest.mark.parametrize("hot", [False, True])
-def test_suggestions_are_those_of_brute_force(spark, hot, request):
+def test_suggestions_are_those_of_brute_force(spark, hot, request, monkeypatch):
     if hot:
         request.getfixturevalue("hot_rows")
+    monkeypatch.setattr(names, "FIRST_NAMES", 7)
+    monkeypatch.setattr(names, "MORE_NAMES", 3)
     rnd = random.Random(3)
 
     def word():
@@ -90,3 +92,22 @@ def test_token_hits_beat_substring_matches_whatever_the_rest_of_the_batch_asks(s
     assert first == [{(0, "b")}, {(0, "b"), (1, "b")}]
     texts = spark.createDataFrame([("sa ma pe lo ca",)], "q string")
     assert [r["code"] for r in names.resolve_streets(texts, stored).collect()] == ["b"]
+
+
+def test_first_matches_are_found_without_listing_all(spark, monkeypatch):
+    table = [(i, f"c{i}", f"san martin {i:05d}", 0, 1, 0, 1) for i in range(3000)] + [(9000, "z", "zulu martin", 0, 1, 0, 1), (9001, "n", None, 0, 1, 0, 1)]
+    index = names.name_index(streets(spark, table))
+    assert [r["ord"] for r in index.names.orderBy(F.asc_nulls_last("nombre_cal")).collect()] == list(range(3002))
+    asked = {"a": 5, "": 3, "_": 9, "zu mar": 2, "sa ma 2": 50, "s a n m a": 1, "qqq": 4}
+    queries = spark.createDataFrame(list(asked.items()), "qnorm string, k int")
+    prepared = names.prepare_queries(queries, index)
+    found = [tuple(r) for r in names.first_substrings(prepared, index, ["qnorm", "k", "nombre_cal"]).select("qnorm", "nombre_cal", "sim").collect()]
+    every = [tuple(r) for r in names.substring_pairs(prepared, index).select("qnorm", "nombre_cal", "sim").collect()]
+    for q, k in asked.items():
+        mine = sorted(n for query, n, _ in found if query == q)
+        all_names = sorted(n for query, n, _ in every if query == q and n is not None)
+        if q == "s a n m a":  # token hits may lift any of these, so all are seen
+            assert mine == all_names
+        else:
+            # Per range that is searched at most k pairs are written.
+            assert mine[:k] == all_names[:k] and len(mine) <= 4 * k

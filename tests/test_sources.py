@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from esquina.functions import geometry as gm
 from esquina.operators.search import search_suggest
-from esquina.plans.load import Store, load, stored_search_index
+from esquina.operators import address, crossing, names
+from esquina.plans.load import LOOKUPS, StaleIndex, Store, load, refresh_names, stored_search_index, stored_street_index, table_name
 from esquina.sources import geojson, tables
 from esquina.streaming.geocode import stream_addresses
 from tests.helpers import streets
@@ -145,3 +146,76 @@ def test_fingerprint_depends_on_the_content_only(spark, tmp_path):
     swapped = [*lines[:100], lines[101], lines[100], *lines[102:]]
     others = [key("e.json", "\n".join(swapped) + "\n"), key("f.json", whole[:-1]), key("g.json", whole.replace("\n", "\r\n")), key("h.json", ""), key("i.json", whole + "\n")]
     assert len({one, *others}) == 6
+
+
+@pytest.fixture
+def stored(spark, tmp_path):
+    rows = [feature(i, {"type": "LineString", "coordinates": [[i, 0], [i + 1, 0]]}, numero_cal=f"c{i % 40}", nombre_cal=f"Calle san {i % 40} martin",
+                    alt_ini_pa=100 * i, alt_fin_pa=100 * i + 98, alt_ini_im=100 * i + 1, alt_fin_im=100 * i + 99) for i in range(120)]
+    (tmp_path / "s.geojson").write_text("\n".join(json.dumps(f) for f in rows))
+    points = [feature(i, {"type": "Point", "coordinates": [i, i]}, num_calle=f"c{i};c{i + 1}") for i in range(30)]
+    (tmp_path / "p.geojson").write_text("\n".join(json.dumps(f) for f in points))
+    store = Store(str(tmp_path / "store"))
+    assert load(spark, str(tmp_path / "s.geojson"), str(tmp_path / "p.geojson"), store, layout="lines")
+    return store
+
+
+def everything(spark, store, index):
+    asked = spark.createDataFrame([(1, "san 3", 5), (2, "", 7), (3, "sam 17 martin", 50)], "req_id long, qstr string, limit int")
+    places = spark.createDataFrame([(i, f"san {i} martin", 100 * i + 50) for i in range(45)] + [(99, "C7", 4750)], "req_id long, calle string, altura int")
+    pairs = spark.createDataFrame([(i, f"san {i} martin", f"c{i + 1}") for i in range(35)], "req_id long, calle1 string, calle2 string")
+    return [
+        sorted(map(str, df.collect()))
+        for df in (names.suggest(asked, index), address.geocode_addresses(places, index), crossing.geocode_intersections(pairs, index, store.table(spark, "intersections")))
+    ]
+
+
+def test_stored_look_ups_give_the_same_answers(spark, stored):
+    index = stored_street_index(spark, stored)
+    want = everything(spark, stored, stored.table(spark, "streets"))
+    assert everything(spark, stored, index) == want and "success=True" in want[1][1]
+    # Another session, which does not know the tables.
+    for name in LOOKUPS:
+        spark.sql(f"DROP TABLE {table_name(stored, name)}")
+    assert everything(spark, stored, stored_street_index(spark, stored)) == want
+
+
+def test_stored_look_ups_are_not_shuffled(spark, stored):
+    index = stored_street_index(spark, stored)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        prepared = names.prepare_queries(spark.createDataFrame([("san 3", 5)], "qnorm string, k int"), index.names()).withColumn("percent", F.lit(35))
+        points = spark.createDataFrame([("C1", 150, True)], "code string, altura int, fallback boolean")
+        codes = spark.createDataFrame([("C1",)], "qcode string").join(index.codes, "qcode")
+        jobs = {
+            "name_slices": names.substring_pairs(prepared, index.names()),
+            "name_grams": names.similar_pairs(prepared, index.names()),
+            "street_blocks": address.best_segments(points, index),
+            "street_codes": codes,
+        }
+        for name, job in jobs.items():
+            plan = job._jdf.queryExecution().executedPlan().toString()
+            above = plan[: plan.index(f"{table_name(stored, name)}")].split("Join")[-1]
+            assert "Bucketed: true" in plan and above.count("Exchange") <= 1, plan
+            side = plan[plan.index("SortMergeJoin") :].split("Exchange hashpartitioning")
+            assert table_name(stored, name) not in side[-1] or len(side) == 2, plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_stale_look_ups_are_refused(spark, stored):
+    refresh_names(spark, stored, "another load")
+    with pytest.raises(StaleIndex):
+        stored_street_index(spark, stored)
+
+
+def test_stream_against_stored_look_ups(spark, stored, tmp_path):
+    requests = spark.createDataFrame([(i, f"san {i} martin", 100 * i + 50) for i in range(10)], "req_id long, calle string, altura int")
+    requests.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(requests.schema).parquet(str(tmp_path / "in"))
+    stream_addresses(stream, lambda: stored_street_index(spark, stored), str(tmp_path / "out"), str(tmp_path / "state"), once=True).awaitTermination()
+    done = spark.read.parquet(str(tmp_path / "out")).drop("batch")
+    want = address.geocode_addresses(requests, stored.table(spark, "streets"))
+    assert sorted(map(str, done.select(*want.columns).collect())) == sorted(map(str, want.collect())) and done.filter("success").count() > 0
