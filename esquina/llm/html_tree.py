@@ -67,6 +67,7 @@ class Page(HTMLParser):
         self.tags, self.words, self.parents, self.marks = ["#page"], [frozenset()], [-1], [None]
         self.pieces: list[tuple[int, int, str, bool]] = []
         self.stack: list[tuple[str, int]] = [("#page", 0)]
+        self.open: Counter[str] = Counter()  # tags on the stack
         self.block, self.silent, self.links = 0, 0, 0
         self.loose = (-1, 0)  # block and node of text that no block of its own encloses
         self.feed(html)
@@ -94,6 +95,11 @@ class Page(HTMLParser):
         self.silent += tag in SILENT
         self.links += tag == "a"
         self.stack.append((tag, node))
+        self.open[tag] += 1
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """``<![…`` outside a foreign element is a comment up to the next ``>``."""
+        return self.parse_bogus_comment(i)
 
     def _node(self, tag: str, words: frozenset[str], parent: int, mark: str | None) -> int:
         self.tags.append(tag)
@@ -108,14 +114,15 @@ class Page(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag == "p" and all(t != "p" for t, _ in self.stack):
+        if tag == "p" and not self.open["p"]:
             self.block += 1
-        if any(t == tag for t, _ in self.stack[1:]):
+        if self.open[tag]:
             while self._pop() != tag:
                 pass
 
     def _pop(self) -> str:
         tag, _ = self.stack.pop()
+        self.open[tag] -= 1
         self.silent -= tag in SILENT
         self.links -= tag == "a"
         self.block += tag not in INLINE

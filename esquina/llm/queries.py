@@ -69,11 +69,10 @@ l_lines AS (SELECT *, trim(raw, concat(' ', chr(9), chr(11), chr(12), chr(13)))
 l_common AS (SELECT line FROM l_lines WHERE len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) >= {lines.MIN_WORDS}
   GROUP BY line HAVING count(DISTINCT site) >= {lines.MIN_SITES}),
 l_marked AS (SELECT l.*, c.line IS NOT NULL AS gone FROM l_lines l LEFT JOIN l_common c USING (line)),
-l_docs AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_gone, sum(length(raw)) AS size,
-  coalesce(sum(length(raw)) FILTER (gone), 0) AS gone_size,
+l_docs AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_gone,
   coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS rest FROM l_marked GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, CASE WHEN 2 * gone_size <= size THEN n_gone ELSE 0 END AS n_removed,
-  CASE WHEN n_gone > 0 AND 2 * gone_size <= size THEN rest ELSE text END AS text
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_gone, 0) AS n_removed,
+  CASE WHEN n_gone > 0 THEN rest ELSE text END AS text
 FROM documents d LEFT JOIN l_docs USING (doc_id)"""
 
 

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -304,3 +305,35 @@ def test_near_duplicates_of_ids_with_several_texts(spark):
     assert sorted((r.doc_id, r.component_id) for r in found.collect()) == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 1), (7, 1), (7, 1), (9, 9)]
     renamed = table(spark, rows).withColumnRenamed("doc_id", "my id").withColumnRenamed("text", "my text")
     assert sorted(r["my id"] for r in neardup.keep_one(renamed, words=2, id_col="my id", text_col="my text").collect()) == [1, 1, 1, 9]
+
+
+@pytest.mark.parametrize("html", ["<p>x</p><![foo[ y ]]><p>z</p>", "<![", "<![CDATA[a]]>", "<!", "</", "<", "&#xffffffff;", "<a" * 50, "<p>" + "<![if x]>" * 9, "</p></p>", "<!--", "<script>", "<p a='"])
+def test_any_markup_is_read(html):
+    page = html_tree.Page(html)
+    assert len(page.tags) == len(page.parents)
+
+
+def test_deep_nesting_with_stray_ends_is_read_in_proportion():
+    def seconds(n):
+        begin = time.process_time()
+        html_tree.Page("<div>" * n + "</span>" * n)
+        return time.process_time() - begin
+
+    seconds(1000)
+    assert seconds(16_000) < 12 * max(seconds(4000), 0.01)
+
+
+def test_pure_boilerplate_goes_unless_copies_are_spared(spark):
+    line = "all rights are reserved on this site"
+    rows = [(i, line if i < 12 else f"{line}\nown words of text {i} here\n{line}", f"site{i}", "en") for i in range(14)] + [(20, line, None, "en"), (0, line, "site0", "en")]
+    found = {r.doc_id: (r.text, r.n_removed) for r in lines.remove_common_lines(table(spark, rows)).collect()}
+    assert found[0] == ("", 1) and found[20] == ("", 1) and found[13] == ("own words of text 13 here", 2)
+    spared = {r.doc_id: (r.text, r.n_removed) for r in lines.remove_common_lines(table(spark, rows), spare_copies=True).collect()}
+    assert spared[0] == (line, 0) and spared[13][1] == 0
+
+
+@pytest.mark.parametrize("sites", [8, 9, 10, 11, 13])
+def test_lines_near_the_threshold_are_counted_exactly(spark, sites):
+    rows = [(i, "one line of five words", f"s{i % sites}", "en") for i in range(40)]
+    gone = {r.n_removed for r in lines.remove_common_lines(table(spark, rows)).collect()}
+    assert gone == {int(sites >= lines.MIN_SITES)}
