@@ -26,9 +26,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that stand on many sites go; every document stays."""
+    """Lines that stand on many sites go; every document stays, and copies as a whole are left to the next stage."""
     ship(spark)
-    return sized(lines.remove_common_lines(docs), docs.columns)
+    return sized(lines.remove_common_lines(docs, spare_copies=True), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
