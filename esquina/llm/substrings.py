@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from esquina.llm.sketch import mix
@@ -259,32 +259,44 @@ def without_repeats(
     texts are told apart. ``shard_regions`` and ``gram`` do not change the result.
     """
     rows = keyed(docs, id_col, text_col)
-    regions = settle(region_rows(rows.select("doc_id", "row_key", "text"), window, gram), "regions")
-    often = regions.groupBy("run").agg(F.count("*").alias("n")).filter("n > 1").select("run")
-    shared = settle(regions.join(often, "run"), "shared-regions")
-    place = F.struct("doc_id", "row_key", "start", "windows")
-    contents = settle(shared.groupBy("run", "content").agg(F.count("*").alias("places"), F.min(place).alias("at")), "contents")
-    groups = contents.groupBy("run").agg(F.count("*").alias("kinds"), F.min("places").alias("fewest"))
-    open_ = contents.join(groups.filter("kinds > 1 AND fewest = 1"), "run")
-    asked = F.struct("run", F.col("at.start").alias("start"), F.col("at.windows").alias("windows"), "places", "kinds")
-    wanted = open_.groupBy(F.col("at.doc_id").alias("w_id"), F.col("at.row_key").alias("w_key")).agg(F.collect_list(asked).alias("wanted"))
+    shared = settle(shared_regions(region_rows(rows.select("doc_id", "row_key", "text"), window, gram)), "shared-regions")
+    open_ = shared.filter("first AND kinds > 1 AND fewest = 1")
+    asked = F.struct("run", "start", "windows", "places", "kinds")
+    wanted = open_.groupBy(F.col("doc_id").alias("w_id"), F.col("row_key").alias("w_key")).agg(F.collect_list(asked).alias("wanted"))
     texts = rows.repartition("doc_id", "row_key")
     same = F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("row_key") == F.col("w_key"))
     # Of rows that are wholly equal one is enough here.
     needed = texts.join(wanted, same).select("doc_id", "row_key", "text", "wanted").dropDuplicates(["doc_id", "row_key"])
-    return finished(texts, shared, contents, needed, window, shard_regions)
+    return finished(texts, shared, needed, window, shard_regions)
 
 
-def finished(
-    texts: DataFrame, shared: DataFrame, contents: DataFrame, needed: DataFrame, window: int, shard_regions: int
-) -> DataFrame:
+def shared_regions(regions: DataFrame) -> DataFrame:
+    """The regions whose run is found again, in one shuffle and one table.
+
+    ``places``: regions of this run and content; ``first``: one of them stands for all; ``kinds``: contents of the run;
+    ``fewest``: the least of their places.
+    """
+    by_content = Window.partitionBy("run", "content")
+    by_run = Window.partitionBy("run")
+    place = by_content.orderBy("doc_id", "row_key", "start", "windows")
+    counted = (
+        # Dealt by run, which serves the windows by run and content too.
+        regions.repartition("run")
+        .withColumn("first", F.row_number().over(place) == 1)
+        .withColumn("places", F.count(F.lit(1)).over(by_content))
+        .withColumn("kinds", F.sum(F.col("first").cast("long")).over(by_run))
+        .withColumn("fewest", F.min("places").over(by_run))
+    )
+    return counted.filter("kinds > 1 OR places > 1")
+
+
+def finished(texts: DataFrame, shared: DataFrame, needed: DataFrame, window: int, shard_regions: int) -> DataFrame:
     """Marks the windows of all regions and cuts them out of ``texts``."""
     small = needed.withColumn("wanted", F.filter("wanted", lambda w: w["kinds"] <= shard_regions))
     large = needed.withColumn("wanted", F.filter("wanted", lambda w: w["kinds"] > shard_regions))
     masks = region_words(small, window).groupBy("run").applyInArrow(shard_masks(window), SPANS)
     more = counted_windows(region_words(large, window), window)
-    whole = shared.join(contents.filter("places > 1").select("run", "content"), ["run", "content"], "left_semi")
-    whole = whole.select("doc_id", "row_key", "start", F.expr("shiftleft(1L, windows) - 1").alias("mask"))
+    whole = shared.filter("places > 1").select("doc_id", "row_key", "start", F.expr("shiftleft(1L, windows) - 1").alias("mask"))
     spans = masks.unionByName(more).unionByName(whole)
     listed = spans.groupBy(F.col("doc_id").alias("s_id"), F.col("row_key").alias("s_key")).agg(
         F.collect_list(F.struct("start", "mask")).alias("spans")
