@@ -165,11 +165,11 @@ def span_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Id, text hash and text, and the whole row beside them."""
+    """Id, text hash and text, and the whole row beside them. A missing id is -1: rows of equal texts lose the same words anyway."""
     text = F.col(f"`{text_col}`").cast("binary")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    key = F.xxhash64(text).alias("row_key")
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), key, text.alias("text"), row.alias("row"))
+    key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-1).cast("long"))
+    return docs.select(key.alias("doc_id"), F.xxhash64(text).alias("row_key"), text.alias("text"), row.alias("row"))
 
 
 def region_rows(rows: DataFrame, window: int, gram: int) -> DataFrame:
@@ -264,10 +264,12 @@ def without_repeats(
     asked = F.struct("run", "start", "windows", "places", "kinds")
     wanted = open_.groupBy(F.col("doc_id").alias("w_id"), F.col("row_key").alias("w_key")).agg(F.collect_list(asked).alias("wanted"))
     texts = rows.repartition("doc_id", "row_key")
-    same = F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("row_key") == F.col("w_key"))
+    # Plain equality, so that the joins keep the way the texts are dealt.
+    same = (F.col("doc_id") == F.col("w_id")) & (F.col("row_key") == F.col("w_key"))
     # Of rows that are wholly equal one is enough here.
-    needed = texts.join(wanted, same).select("doc_id", "row_key", "text", "wanted").dropDuplicates(["doc_id", "row_key"])
-    return finished(texts, shared, needed, window, shard_regions)
+    few = texts.join(wanted, same).select("doc_id", "row_key", "text", "wanted").dropDuplicates(["doc_id", "row_key"])
+    needed = settle(few, "open-texts")
+    return finished(texts.drop("text"), shared, needed, window, shard_regions, text_col)
 
 
 def shared_regions(regions: DataFrame) -> DataFrame:
@@ -290,7 +292,7 @@ def shared_regions(regions: DataFrame) -> DataFrame:
     return counted.filter("kinds > 1 OR places > 1")
 
 
-def finished(texts: DataFrame, shared: DataFrame, needed: DataFrame, window: int, shard_regions: int) -> DataFrame:
+def finished(texts: DataFrame, shared: DataFrame, needed: DataFrame, window: int, shard_regions: int, text_col: str) -> DataFrame:
     """Marks the windows of all regions and cuts them out of ``texts``."""
     small = needed.withColumn("wanted", F.filter("wanted", lambda w: w["kinds"] <= shard_regions))
     large = needed.withColumn("wanted", F.filter("wanted", lambda w: w["kinds"] > shard_regions))
@@ -301,9 +303,10 @@ def finished(texts: DataFrame, shared: DataFrame, needed: DataFrame, window: int
     listed = spans.groupBy(F.col("doc_id").alias("s_id"), F.col("row_key").alias("s_key")).agg(
         F.collect_list(F.struct("start", "mask")).alias("spans")
     )
-    same = F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("row_key") == F.col("s_key"))
+    same = (F.col("doc_id") == F.col("s_id")) & (F.col("row_key") == F.col("s_key"))
     cut = cut_column(window)
-    return texts.join(listed, same, "left").select("row", cut("text", "spans").alias("c")).select("row", "c.*")
+    text = F.col("row").getField(text_col).cast("binary")
+    return texts.join(listed, same, "left").select("row", cut(text, "spans").alias("c")).select("row", "c.*")
 
 
 def cut_column(window: int):
