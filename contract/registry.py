@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contract import sql as s
@@ -99,6 +99,54 @@ def _(spark, sf):
     )
 
 
+# Features of one collection file.
+PER_COLLECTION = 5000
+
+
+def _street_collections(spark: SparkSession, sf: str) -> str:
+    """Folder of pretty-printed collections; each feature carries a note full of JSON's own signs."""
+    note = F.concat(F.lit('a "'), F.get_json_object("value", "$.properties.nombre_cal"), F.lit('" }{[ \\ '))
+    shape = F.get_json_object("value", "$.geometry")
+    feature = F.struct(
+        F.lit("Feature").alias("type"),
+        F.get_json_object("value", "$.id").cast("long").alias("id"),
+        F.from_json(F.get_json_object("value", "$.properties"), geojson.STREET_SCHEMA).withField("nota", note).alias("properties"),
+    )
+    # The geometry goes in as it is, so that the broken ones stay broken.
+    body = F.concat(
+        F.regexp_replace(F.to_json(feature, {"pretty": "true"}), r"\s*\}$", ""), F.lit(',\n  "geometry" : '), F.coalesce(shape, F.lit("null")), F.lit("\n}")
+    )
+    rows = _street_features(spark, sf).withColumn("value", F.regexp_replace("value", ",$", "")).select(
+        (F.get_json_object("value", "$.id").cast("long") / PER_COLLECTION).cast("long").alias("part"), body.alias("value")
+    )
+    rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy("part").orderBy("value")).cast("long"))
+    rows = rows.withColumn("value", F.concat(F.when(F.col("pos") > 1, F.lit(",")).otherwise(F.lit("")), "value"))
+    head = '{\n"type": "FeatureCollection",\n"crs": {"type": "name", "properties": {"name": "x"}},\n"features": ['
+    parts = rows.select("part").distinct()
+    rows = rows.unionByName(parts.select("part", F.lit(head).alias("value"), F.lit(0).cast("long").alias("pos")))
+    rows = rows.unionByName(parts.select("part", F.lit("]\n}").alias("value"), F.lit(PER_COLLECTION + 1).cast("long").alias("pos")))
+    path = fresh_path(spark, "collections")
+    rows.repartition("part").sortWithinPartitions("part", "pos").select("part", "value").write.partitionBy("part").text(path)
+    return path
+
+
+@query("s1_collection_blocks", f"""SELECT id, {STREET_COLUMNS}, concat('a "', nombre_cal, '" }}{{[ \\ ') AS nota, round(x0, 7) AS x0, round(y2, 7) AS y2
+    FROM ({GOOD_STREETS}) t""")
+def _(spark, sf):
+    line = F.col("geom.parts")[0]
+    path = _street_collections(spark, sf)
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        loaded = geojson.read_geojson(spark, path, geojson.STREET_SCHEMA, layout="blocks")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    return loaded.rows.select(
+        "id", *STREET_COLUMNS.split(", "), F.get_json_object("properties", "$.nota").alias("nota"),
+        F.round(line[0]["x"], 7).alias("x0"), F.round(line[2]["y"], 7).alias("y2"),
+    )
+
+
 @query("s2_promote_multi", f"SELECT 'MultiLineString' AS type, count(*) AS n FROM ({GOOD_STREETS}) t")
 def _(spark, sf):
     return _loaded(spark, sf).rows.groupBy(F.col("geom.type").alias("type")).agg(F.count(F.lit(1)).alias("n"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from esquina.functions import geometry as gm
+from esquina.sources.blocks import scan_collections
 
 # Columns that the engine reads; the raw properties are kept beside them.
 STREET_SCHEMA = (
@@ -62,6 +63,12 @@ def _features_of_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _features_of_blocks(spark: SparkSession, path: str) -> DataFrame:
+    found, broken = scan_collections(spark, path)
+    features = found.select("raw", F.from_json("raw", FEATURE).alias("feature"), "at")
+    return features.unionByName(broken.select("raw", F.lit(None).cast(FEATURE).alias("feature"), F.lit(None).cast("long").alias("at")))
+
+
 def read_geojson(
     spark: SparkSession,
     path: str,
@@ -75,13 +82,15 @@ def read_geojson(
     """Features as rows: id, the columns of ``schema``, properties, geom.
 
     ``layout="collection"`` reads any FeatureCollection, a file per task.
+    ``layout="blocks"`` reads a FeatureCollection, however it is printed, in many tasks
+    (see ``blocks.scan_collections``); of a broken file it keeps the whole features.
     ``layout="lines"`` reads one feature per line, bare or inside a collection written
     that way, and splits large files over many tasks; it needs an id in every feature.
     Features without a usable geometry or id are rejected, and so are those that repeat an
     id, in whatever file: the one whose text comes first is kept. ``on_error="fail"`` makes
     them fail the job instead.
     """
-    read = {"collection": _features_of_collections, "lines": _features_of_lines}[layout]
+    read = {"collection": _features_of_collections, "blocks": _features_of_blocks, "lines": _features_of_lines}[layout]
     features = read(spark, path)
     own_id = F.coalesce(F.col("feature.id"), F.get_json_object("feature.properties", "$.id"))
     stored = gm.reproject(F.col("geom"), src, dst)
