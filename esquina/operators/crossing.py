@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,17 +55,58 @@ def crossing_of_pairs(pairs: DataFrame, intersections: DataFrame) -> DataFrame:
         .agg(F.min("id").alias("id"))
         .join(pairs, ["a", "b"])
     )
-    # Each requested pair meets the crowded crossings of its first street only.
-    crowded = listed.filter(F.col("many") > MAX_PAIRED).select(
-        "id", "nums_norm", F.explode(F.array_distinct("nums_norm")).alias("a")
+    crowded = listed.filter(F.col("many") > MAX_PAIRED)
+    rare = _crowded_pairs(pairs, crowded.select("id", "nums_norm"))
+    return usual.unionByName(rare).groupBy("a", "b").agg(F.min("id").alias("id"))
+
+
+def _crowded_pairs(pairs: DataFrame, crowded: DataFrame) -> DataFrame:
+    """The pairs of one crossing are too many to write, so each pair looks at those of its rarer street.
+
+    The pairs that look at a street and the crossings that list it form a grid, which is cut into cells of at
+    most about ``spark.esquina.hotRows`` comparisons; the least ids of the cells are merged.
+    """
+    side = max(1, math.isqrt(hot_rows(pairs)))
+    listings = crowded.select("id", "nums_norm", F.explode(F.array_distinct("nums_norm")).alias("k"))
+    listed = settle(listings.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "crossing-listed")
+    if listed.isEmpty():
+        return listed.select(F.col("k").alias("a"), F.col("k").alias("b"), F.col("n").alias("id")).limit(0)
+    asked = pairs
+    for own, other in (("a", "b"), ("b", "a")):
+        counts = pairs.groupBy(own).agg(F.count(F.lit(1)).alias("n"))
+        sizes = listed.select(F.col("k").alias(own), F.col("n").alias(f"_n_{own}"))
+        # A pair with a street that no crowded crossing lists has none.
+        asked = spread_lookup(asked, sizes, counts, [own], F.col(other), how="inner")
+    first = F.col("_n_a") <= F.col("_n_b")
+    asked = settle(
+        asked.select(
+            "a", "b", F.when(first, F.col("a")).otherwise(F.col("b")).alias("k"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("other")
+        ),
+        "crossing-asked",
+    )
+    askers = settle(asked.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "crossing-askers")
+    cells = askers.join(listed.select("k", F.col("n").alias("m")), "k").select(
+        "k", F.ceil(F.col("n") / side).alias("pair_parts"), F.ceil(F.col("m") / side).alias("id_parts")
     )
-    rare = (
-        pairs.join(crowded, "a")
-        .filter(F.array_contains("nums_norm", F.col("b")))
+
+    def parts(name: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(name).cast("long") - 1))
+
+    def part(value: str, name: str) -> Column:
+        return F.pmod(F.xxhash64(value), F.col(name).cast("long"))
+
+    wide = spread_lookup(asked, cells, askers, ["k"], F.col("other"), how="inner").select(
+        "a", "b", "k", "other", part("other", "pair_parts").alias("pair_part"), parts("id_parts").alias("id_part")
+    )
+    long = spread_lookup(listings, cells, listed, ["k"], F.col("id"), how="inner").select(
+        "id", "nums_norm", "k", part("id", "id_parts").alias("id_part"), parts("pair_parts").alias("pair_part")
+    )
+    return (
+        wide.join(long, ["k", "pair_part", "id_part"])
+        .filter(F.array_contains("nums_norm", F.col("other")))
         .groupBy("a", "b")
         .agg(F.min("id").alias("id"))
     )
-    return usual.unionByName(rare).groupBy("a", "b").agg(F.min("id").alias("id"))
 
 
 def crossing_point(geom: Column) -> Column:
@@ -114,7 +157,9 @@ def attach_crossings(
         gm.transformable(gm.default_srid(F.col("geom.srid")), gm.WGS84).alias("can_transform"),
         F.col("geom").isNotNull().alias("has_geom"),
     )
-    found = coded.join(placed, ["a", "b"]).drop("a", "b")
+    # Many spellings may name the same two streets.
+    spellings = coded.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")) if may_be_hot else None
+    found = spread_lookup(coded, placed, spellings, ["a", "b"], F.xxhash64(*keys), how="inner").drop("a", "b")
     joined = spread_lookup(rows, found, counts, keys, F.col("req_id"))
     hit = F.col("_valid") & F.col("point").isNotNull()
     lat, lon = F.when(hit, F.col("point.y")), F.when(hit, F.col("point.x"))

@@ -35,16 +35,17 @@ def test_crossings(spark, town):
     ])
     df = spark.createDataFrame(
         [(1, "alfa", "beta"), (2, "beta", "alfa"), (3, "gama", "beta"), (4, "gama", "delta"), (5, "alfa", "alfa"),
-         (6, "alfa", "gama"), (7, "", "alfa"), (8, None, "alfa"), (9, "delta", "c3")],
+         (6, "alfa", "gama"), (7, "", "alfa"), (8, None, "alfa"), (9, "delta", "c3"), (10, "alfa", "zzzz")],
         "req_id long, calle1 string, calle2 string",
     )
     got = {r["req_id"]: r for r in crossing.geocode_intersections(df, town, table).collect()}
-    assert len(got) == 9
+    assert len(got) == 10
     assert (got[1]["lon"], got[1]["lat"], got[1]["success"]) == (1, 2, True)
     assert got[2]["lon"] == 1 and got[5]["lon"] == 1
     assert got[3]["lon"] == pytest.approx(-58.597, abs=1e-2)
     assert got[4]["status"] == "unsupported_crs" and got[4]["success"] is None
     assert got[6]["message"] == crossing.NOT_FOUND and got[6]["status"] == "ok"
+    assert got[10]["message"] == crossing.NOT_FOUND
     assert got[7]["status"] == got[8]["status"] == "invalid"
     # No point: the middle vertex of the line. The pair (delta, delta) meets 4 first, which has no known system.
     assert got[9]["status"] == "unsupported_crs"
@@ -66,6 +67,19 @@ def test_crowded_crossings_agree_with_brute_force(spark, hot, request):
         assert got[req_id] == (min(ids) if ids else None), (a, b)
 
 
+def test_one_street_in_every_crowded_crossing(spark, hot_rows):
+    """The pairs of the common street look at the rarer one; its list and its pairs are cut into cells."""
+    rnd = random.Random(3)
+    codes = [f"C{i:02}" for i in range(40)]
+    rows = [(i, ["C00", *rnd.sample(codes[1:], rnd.choice([8, 12]))]) for i in range(80)]
+    table = spark.createDataFrame(rows, "id long, nums_norm array<string>")
+    asked = [("C00", c) for c in codes] + [(a, b) for a in codes[1:9] for b in codes[1:9] if a <= b] + [("C01", "none")]
+    pairs = spark.createDataFrame(sorted(set(asked)), "a string, b string")
+    got = {(r["a"], r["b"]): r["id"] for r in crossing.crossing_of_pairs(pairs, table).collect()}
+    want = {p: min((i for i, c in rows if set(p) <= set(c)), default=None) for p in asked}
+    assert got == {p: i for p, i in want.items() if i is not None}
+
+
 def test_backfill_keeps_what_is_there(spark):
     df = spark.createDataFrame([(1, "a;b", ["X"]), (2, "a;b", None)], "id long, num_calle string, nums_norm array<string>")
     got = {r["id"]: r["nums_norm"] for r in crossing.with_code_list(df, only_missing=True).collect()}
