@@ -2,12 +2,14 @@
 
 The trees are grown on a bounded sample; every vector is then routed to one leaf of each tree. A query walks all
 trees through one queue, nearest margin first, until the leaves it has met hold enough vectors; those are
-compared with it exactly.
+compared with it exactly. How many are enough is measured: a bounded number of queries is first answered by brute
+force, and the walk goes as far as it takes to meet the wanted part of their true neighbours.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,9 +24,8 @@ TREES = 16
 SAMPLE_ROWS = 32_768  # vectors that the trees are grown on, at most
 LEAF_ROWS = 128  # sampled vectors in a leaf, at most
 DIRECTIONS = 32  # random directions of which a split takes the one that spreads its vectors most
-# What the leaves of a query hold, as a share of all vectors, a vector counting once for each tree. Vectors without
-# any structure need this much for a recall of 0.9; clustered ones a small part of it.
-SHARE = 0.5
+RECALL = 0.97  # wanted part of the true neighbours of the pilot queries
+PILOTS = 64  # queries that are compared with every vector to measure how far the others have to walk
 LEAST_CANDIDATES = 4_000
 BLOCK_ROWS = 4_096  # vectors of one leaf that one task compares
 
@@ -76,8 +77,11 @@ def grow(x: np.ndarray, leaf: int, rng: np.random.Generator) -> Tree:
     return Tree(np.array(normals).reshape(-1, size), np.array(offsets), np.array(children, np.int64).reshape(-1, 2))
 
 
-def probes(forest: list[Tree], held: list[np.ndarray], query: np.ndarray, enough: int) -> list[tuple[int, int]]:
-    """Leaves of all trees, the least sum of squared margins on the way first, until they hold ``enough`` vectors."""
+def probes(forest: list[Tree], held: list[np.ndarray], query: np.ndarray, enough: float) -> list[tuple[int, int]]:
+    """Leaves of all trees, the least sum of squared margins on the way first, until they hold ``enough`` vectors.
+
+    A vector counts once for each tree in which its leaf is met.
+    """
     queue = [(0.0, t, 0 if len(tree.normals) else -1) for t, tree in enumerate(forest)]
     heapq.heapify(queue)
     margins = [tree.normals @ query - tree.offsets for tree in forest]
@@ -155,6 +159,64 @@ def nearest_in_block(k: int):
     return run
 
 
+def true_neighbours(numbered: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
+    """``pilot, score, leaves``: the ``k`` nearest of each row of ``queries`` among all vectors, by one pass over them.
+
+    A task hands on ``k`` rows for a pilot at most.
+    """
+    square = (queries * queries).sum(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores, leaves = np.full((len(queries), 0), np.inf), np.empty((len(queries), 0), object)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = matrix(b.column("vector"))
+            far = square[:, None] - 2 * (queries @ x.T) + (x * x).sum(1)[None, :]
+            far[ids[:, None] == b.column("vec_id").to_numpy()[None, :]] = np.inf
+            own = np.empty(b.num_rows, object)
+            own[:] = b.column("leaves").to_pylist()
+            scores = np.concatenate([scores, far], axis=1)
+            leaves = np.concatenate([leaves, np.broadcast_to(own, far.shape)], axis=1)
+            best = np.argsort(scores, axis=1)[:, :k]
+            scores, leaves = np.take_along_axis(scores, best, 1), np.take_along_axis(leaves, best, 1)
+        pilot, place = np.nonzero(np.isfinite(scores))
+        columns = [pa.array(pilot.astype(np.int32)), pa.array(scores[pilot, place])]
+        columns.append(pa.array(list(leaves[pilot, place]), pa.list_(pa.int32())))
+        yield pa.RecordBatch.from_arrays(columns, ["pilot", "score", "leaves"])
+
+    found = numbered.select("vec_id", "vector", "leaves").mapInArrow(run, "pilot int, score double, leaves array<int>")
+    rank = F.row_number().over(Window.partitionBy("pilot").orderBy("score"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
+
+
+def measured_walk(
+    numbered: DataFrame, forest: list[Tree], held: list[np.ndarray], k: int, recall: float, pilots: int
+) -> int:
+    """How many vectors the leaves of a walk have to hold to meet ``recall`` of the pilots' true neighbours.
+
+    The pilots are the ``pilots`` queries with the least hash of their ids; at most ``pilots * k`` rows are collected.
+    """
+    chosen = numbered.filter("query").orderBy(F.xxhash64("vec_id", F.lit("pilot")), "vec_id").limit(pilots)
+    asked = chosen.select("vec_id", "vector").toArrow().combine_chunks()
+    if not asked.num_rows:
+        return 0
+    queries = matrix(asked.column("vector").combine_chunks())
+    true = true_neighbours(numbered, asked.column("vec_id").to_numpy(), queries, k).collect()
+    needed = []
+    for pilot, query in enumerate(queries):
+        met, total = {}, 0
+        for t, leaf in probes(forest, held, query, np.inf):
+            total += 1  # a walk that shall meet this leaf has not enough before it
+            met[t, leaf] = total
+            total += int(held[t][leaf]) - 1
+        needed += [min(met[t, leaf] for t, leaf in enumerate(r["leaves"])) for r in true if r["pilot"] == pilot]
+    if not needed:
+        return 0
+    needed.sort()
+    return needed[min(len(needed), math.ceil(recall * len(needed))) - 1]
+
+
 def search(
     table: DataFrame,
     is_query: Column,
@@ -162,14 +224,17 @@ def search(
     trees: int = TREES,
     sample: int = SAMPLE_ROWS,
     leaf: int = LEAF_ROWS,
-    share: float = SHARE,
+    recall: float = RECALL,
+    pilots: int = PILOTS,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the ``k`` nearest found for each query row, ties to the smaller id.
 
     Vectors that are null, zero or hold a null or non-finite component, rows without an id, and vectors of another
-    dimension than the first by id take no part. Rows that repeat an id count once, by their least vector. A query
+    dimension than the first by id take no part. ``recall`` is reached on the ``pilots`` and, as far as these are like them,
+    by the other queries: near it on average, whatever the vectors look like; those without any structure make every query
+    walk most of the table. Rows that repeat an id count once, by their least vector. A query
     that has visited every leaf has an exact answer. The forest in the tasks is bounded by ``sample``; a leaf that holds
     more than ``BLOCK_ROWS`` vectors is compared in blocks, each of which hands on ``k`` rows for a query at most.
     """
@@ -191,7 +256,7 @@ def search(
     held = [np.zeros(len(t.children) + 1, np.int64) for t in forest]
     for r in counts:
         held[r["tree"]][r["leaf"]] = r["n"]
-    enough = max(LEAST_CANDIDATES, int(share * held[0].sum()))
+    enough = max(LEAST_CANDIDATES, measured_walk(numbered, forest, held, k, recall, pilots))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int32(), pa.int32(), pa.int32())

@@ -261,6 +261,31 @@ def test_nearest_neighbours(spark):
     assert ann.search(vectors.filter("vec_id < 0"), F.col("vec_id") % 100 == 0).count() == 0
 
 
+@pytest.mark.parametrize("clustered", [False, True])
+def test_nearest_neighbours_reach_the_recall_where_leaves_are_left_out(spark, monkeypatch, clustered):
+    ship(spark)
+    monkeypatch.setattr(ann, "LEAST_CANDIDATES", 100)
+    walks = []
+    measured = ann.measured_walk
+    monkeypatch.setattr(ann, "measured_walk", lambda *a: walks.append(measured(*a)) or walks[-1])
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(6000, 24))
+    if clustered:
+        points = 0.1 * points + 3 * rng.normal(size=(60, 24))[rng.integers(60, size=6000)]
+    vectors = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<double>")
+    found = defaultdict(set)
+    for r in ann.search(vectors, F.col("vec_id") % 100 == 0).collect():
+        found[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in range(0, 6000, 100):
+        far = ((points - points[q]) ** 2).sum(1)
+        far[q] = np.inf
+        hits += len(found[q] & set(np.argsort(far)[:10].tolist()))
+    assert 0.9 * 600 <= hits
+    # A vector counts once for each tree here.
+    assert walks[0] < (0.5 if clustered else ann.TREES) * 6000
+
+
 def test_html_and_language(spark):
     ship(spark)
     body = "<p>The river rises in the hills &amp; flows   to the sea.</p><p>It is long.</p>"
