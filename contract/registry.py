@@ -12,6 +12,7 @@ from contract import sql as s
 from contract import views as v
 from esquina.functions import analysis as an
 from esquina.functions import checks, geometry as gm, ranges as rg
+from esquina.functions import projection as pj
 from esquina.functions import text as tx
 from esquina.operators import address, crossing, names, search
 from esquina.operators.stage import settle, shared_dir
@@ -161,6 +162,25 @@ def _(spark, sf):
     )
 
 
+def _series_sql(coefficients: list[float], north: str, east: str, first: str, second: str) -> str:
+    return " + ".join(f"{c!r}::DOUBLE * {first}({2 * j}::DOUBLE * {north}) * {second}({2 * j}::DOUBLE * {east})" for j, c in enumerate(coefficients, 1))
+
+
+# UTM zone 21 south, then back.
+@query("g4_projected_grid", f"""SELECT id, round(500000 + {0.9996 * pj.RADIUS!r}::DOUBLE * (h + {_series_sql(pj.FORWARD, 'x', 'h', 'cos', 'sinh')}), 3) AS easting,
+      round(10000000 + {0.9996 * pj.RADIUS!r}::DOUBLE * (x + {_series_sql(pj.FORWARD, 'x', 'h', 'sin', 'cosh')}), 3) AS northing, lon, lat
+    FROM (SELECT id, atan2(t, cos(l)) AS x, atanh(sin(l) / sqrt(1 + t * t)) AS h, lon, lat
+      FROM (SELECT id, sinh(atanh(p) - {pj.ECCENTRICITY!r}::DOUBLE * atanh({pj.ECCENTRICITY!r}::DOUBLE * p)) AS t, l, lon, lat
+        FROM (SELECT id, sin(radians(y2)) AS p, radians(x2 + 57) AS l, round(x2, 7) AS lon, round(y2, 7) AS lat FROM ({GOOD_STREETS}) g) a) b) c""")
+def _(spark, sf):
+    on_grid = _loaded(spark, sf, dst=32721).rows
+    last, back = F.col("geom.parts")[0][2], gm.transform(F.col("geom"), gm.WGS84)["parts"][0][2]
+    return on_grid.select(
+        "id", F.round(last["x"], 3).alias("easting"), F.round(last["y"], 3).alias("northing"),
+        F.round(back["x"], 7).alias("lon"), F.round(back["y"], 7).alias("lat"),
+    )
+
+
 @query("s4_rejects", "SELECT 'geometry' AS reason, count(*) AS n FROM part WHERE p_size IN (7, 8)")
 def _(spark, sf):
     return _loaded(spark, sf).rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))

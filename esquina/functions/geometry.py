@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from esquina.functions.projection import from_grid, is_grid, to_grid
+
 VERTEX = "struct<x:double,y:double>"
 LINE = f"array<{VERTEX}>"
 GEOMETRY = f"struct<type:string,srid:int,parts:array<{LINE}>>"
@@ -110,19 +112,26 @@ def _to_mercator(v: Column) -> Column:
 
 
 def transformable(srid: Column, dst: int) -> Column:
-    return F.coalesce((srid == dst) | srid.isin(WGS84, MERCATOR) & F.lit(dst in (WGS84, MERCATOR)), F.lit(False))
+    known = srid.isin(WGS84, MERCATOR) | is_grid(srid)
+    reachable = F.lit(dst in (WGS84, MERCATOR)) | is_grid(F.lit(dst))
+    return F.coalesce((srid == dst) | known & reachable, F.lit(False))
 
 
 def transform_vertex(v: Column, srid: Column, dst: int) -> Column:
     """The vertex in ``dst``; null for a pair of systems that is not supported."""
 
-    def moved(w: Column) -> Column:
-        out = F.when(srid == dst, w)
+    def from_wgs84(w: Column) -> Column:
         if dst == WGS84:
-            out = out.when(srid == MERCATOR, _to_wgs84(w))
-        elif dst == MERCATOR:
-            out = out.when(srid == WGS84, _to_mercator(w))
-        return out
+            return w
+        if dst == MERCATOR:
+            return _to_mercator(w)
+        return F.when(is_grid(F.lit(dst)), to_grid(w, F.lit(dst)))
+
+    def moved(w: Column) -> Column:
+        out = F.when(srid == dst, w).when(srid == WGS84, from_wgs84(w))
+        if dst != MERCATOR:
+            out = out.when(srid == MERCATOR, let(_to_wgs84(w), from_wgs84))
+        return out.when(is_grid(srid), let(from_grid(w, srid), from_wgs84))
 
     return let(v, moved)
 
