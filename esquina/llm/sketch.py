@@ -6,11 +6,12 @@ import hashlib
 import math
 
 import numpy as np
-import xxhash
 
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _S30, _S27, _S31, _S32 = (np.uint64(n) for n in (30, 27, 31, 32))
-MAX_WORDS_HELD = 500_000
+# White space as bytes.split has it; a random number for each byte; bytes that are hashed at once.
+_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+_SLICE = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -20,25 +21,45 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S31)
 
 
+_BYTES = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _STEP)
+
+
+def word_hashes(text: bytes | None) -> np.ndarray:
+    """A 64-bit hash of each word of ``text``, in order: the sum of a mix of each byte and its place, mixed with the length."""
+    raw = np.frombuffer(text or b"", np.uint8)
+    if len(raw) <= _SLICE:
+        return _word_hashes(raw)
+    spaces = np.flatnonzero(_SPACE[raw])
+    at = np.searchsorted(spaces, np.arange(_SLICE, len(raw), _SLICE))
+    cuts = np.unique(spaces[at[at < len(spaces)]])
+    return np.concatenate([_word_hashes(part) for part in np.split(raw, cuts)])
+
+
+def _word_hashes(raw: np.ndarray) -> np.ndarray:
+    inside = np.zeros(len(raw) + 2, bool)
+    np.logical_not(_SPACE[raw], out=inside[1:-1])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    size = edges[1::2] - edges[::2]
+    if not len(size):
+        return np.empty(0, np.uint64)
+    first = np.cumsum(size) - size
+    place = np.arange(1, size.sum() + 1) - np.repeat(first, size)
+    each = mix(_BYTES[raw[inside[1:-1]]] ^ (place.astype(np.uint64) * _STEP))
+    return mix(np.add.reduceat(each, first) ^ (size.astype(np.uint64) * _MIX1))
+
+
 class Shingles:
-    """Fingerprints of the distinct shingles of ``size`` words, ascending; word hashes are kept between texts."""
+    """Fingerprints of the distinct shingles of ``size`` words, ascending."""
 
     def __init__(self, size: int):
         self.size = size
-        self.hashes: dict[bytes, int] = {}
 
     def of(self, text: bytes | None) -> np.ndarray:
-        words = text.lower().split() if text else []
-        if not words:
+        ids = word_hashes(text.lower() if text else None)
+        if not len(ids):
             return np.empty(0, np.uint64)
-        held = self.hashes
-        if len(held) > MAX_WORDS_HELD:
-            held.clear()
-        for w in [w for w in set(words) if w not in held]:
-            held[w] = xxhash.xxh3_64_intdigest(w)
-        ids = np.fromiter(map(held.__getitem__, words), np.uint64, len(words))
-        k = min(self.size, len(words))
-        n = len(words) - k + 1
+        k = min(self.size, len(ids))
+        n = len(ids) - k + 1
         run = np.full(n, np.uint64(k))
         for j in range(k):
             run = mix((run + _STEP) ^ ids[j : j + n])

@@ -14,55 +14,47 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from esquina.llm.sketch import mix
+from esquina.llm.sketch import mix, word_hashes
 from esquina.operators.stage import settle
 
 WINDOW = 35
 GRAM = 8
 # Different regions of one run up to which they share an automaton; beyond, their windows are counted one by one.
 SHARD_REGIONS = 1_000
-MAX_WORDS_HELD = 500_000
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 REGIONS = "doc_id long, row_key long, run long, content long, start int, windows int"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Regions:
-    """The regions of texts; word hashes are kept between texts."""
+    """The regions of texts."""
 
     def __init__(self, window: int, gram: int):
         self.window, self.gram = window, gram
-        self.hashes: dict[bytes, int] = {}
         self.place = mix((np.arange(2 * window, dtype=np.uint64) + np.uint64(1)) * _STEP)
 
-    def hashed(self, words: list[bytes]) -> np.ndarray:
-        held = self.hashes
-        if len(held) > MAX_WORDS_HELD:
-            held.clear()
-        for w in [w for w in set(words) if w not in held]:
-            held[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(held.__getitem__, words), np.uint64, len(words))
-
     def of(self, text: bytes | None) -> tuple[np.ndarray, ...]:
         """Run hash, content hash, first window and number of windows of each region."""
-        words = text.split() if text else []
-        if len(words) < self.window:
+        h = word_hashes(text)
+        if len(h) < self.window:
             empty = np.empty(0, np.int64)
             return empty, empty, empty, empty
-        h = self.hashed(words)
-        runs = np.full(len(h) - self.gram + 1, np.uint64(self.gram))
+        # A polynomial in the hashes of the run's words, mixed once. Runs only gather regions; contents tell them apart.
+        runs = np.zeros(len(h) - self.gram + 1, np.uint64)
         for j in range(self.gram):
-            runs = mix((runs + _STEP) ^ h[j : j + len(runs)])
+            runs *= _STEP
+            runs += h[j : j + len(runs)]
+        runs = mix(runs)
         wide = self.window - self.gram + 1
         views = np.lib.stride_tricks.sliding_window_view(runs, wide)
         least = np.concatenate([v.argmin(1) for v in np.array_split(views, len(views) // 65_536 + 1)])
         at = least + np.arange(len(least))
-        start = np.flatnonzero(np.r_[True, np.diff(at) != 0])
-        windows = np.diff(np.r_[start, len(at)])
+        ends = np.append(np.flatnonzero(at[1:] != at[:-1]) + 1, len(at))
+        start = np.concatenate(([0], ends[:-1]))
+        windows = ends - start
         size = windows + self.window - 1
         first = np.cumsum(size) - size
         inside = np.arange(size.sum()) - np.repeat(first, size)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from esquina.llm import ann, bpe, html_tree, language, lines, neardup, packing, quality, substrings, vocab, wavelet
+from esquina.llm import ann, bpe, html_tree, language, lines, neardup, packing, quality, sketch, substrings, vocab, wavelet
 from esquina.llm.ship import ship
 
 # The last columns bear names that operators might use inside.
@@ -322,6 +322,39 @@ def test_pipeline(spark, docs, rows, tmp_path):
     assert untouched and all(total[d] == n for d, n in untouched.items())
 
 
+def test_near_duplicates_around_one_text(spark, monkeypatch):
+    """Copies of one text at every distance, so that some are as alike to it as 0.8 and others just are not."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(400)]
+    base = rng.choices(vocabulary, k=100)
+    few = rng.choices(vocabulary, k=3)  # edits that several copies share
+    rows = []
+    for i in range(150):
+        words = base[:]
+        for at in rng.sample(range(100), i % 15):
+            words[at] = rng.choice(few if i % 2 else vocabulary)
+        rows.append((i, " ".join(words), "s", "en"))
+    steps = []
+    centred = neardup.around_centres
+    monkeypatch.setattr(neardup, "around_centres", lambda *a: steps.append(1) or centred(*a))
+    got = neardup.near_duplicates(table(spark, rows), words=2).collect()
+    want = brute_components(rows, 2)
+    assert steps and len({c for _, c, _ in want.values()}) > 5
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == want
+
+
+def test_word_hashes(monkeypatch):
+    rng = random.Random(11)
+    for cut in (sketch._SLICE, 5, 40):
+        monkeypatch.setattr(sketch, "_SLICE", cut)
+        for _ in range(100):
+            text = bytes(rng.choice(b" \t\n\x0b\x0c\r\x00\x1fab\xc2\xa0") for _ in range(rng.randrange(90)))
+            words, hashes = text.split(), sketch.word_hashes(text).tolist()
+            assert len(words) == len(hashes)
+            assert len(set(zip(words, hashes))) == len(set(words)) == len(set(hashes))
+    assert len(sketch.word_hashes(None)) == 0
+
+
 def test_near_duplicates_of_ids_with_several_texts(spark):
     rng = random.Random(3)
     a, b, c = (" ".join(rng.choices([f"w{i}" for i in range(500)], k=100)) for _ in range(3))
