@@ -7,6 +7,11 @@ bucket is its most central member, the one with most company over all its bucket
 alike to each other than to it, that is the text itself, and one step joins them. Pivots leave their bucket, so in the
 end every pair of a bucket has been compared or is connected.
 
+Members that are almost as alike to that text as its copies would be compared with all of them. From the third step on,
+every member of a bucket has two more numbers: how many shingles it shares with the first pivot, and how many of its
+other shingles any other member has at all. Two members share no more than the lesser of each, which rules out most of
+these pairs exactly. A pair that meets in several buckets is left to the first band that it shares.
+
 Most pairs that share a bucket are far from similar. One bit of each sketch coordinate goes with the members, and only
 pairs whose bits agree often enough are compared on their full sets; that loses a pair at the threshold with a
 probability of 3e-7, beside the 5e-7 with which such a pair meets in no bucket.
@@ -25,6 +30,7 @@ from pyspark.sql import functions as F
 from esquina.llm.batches import id_and_text
 from esquina.llm.graph import components
 from esquina.llm.sketch import Shingles, band_keys, coordinate_bits, set_digest, sketch
+from esquina.operators.skew import spread_lookup
 from esquina.operators.stage import settle
 
 BANDS, ROWS = 48, 6  # a pair at 0.8 shares no band with probability 5e-7
@@ -32,6 +38,7 @@ PERCENT = 80
 # Members of a bucket that are compared with its others in the first steps; later twice as many as in the step before.
 # Up to the bound Spark cuts a ranking to its first rows before it shuffles them.
 FIRST_PIVOTS, MOST_PIVOTS = (1, 4, 64), 512
+CENTRED_STEP = 3  # from here on members are bounded by what they share with the first pivot
 # Bits of a sketch that are compared first. At a similarity s a bit agrees with probability (1 + s) / 2; the bound lies
 # 5.5 deviations below the mean. Of 256 bits at 0.8 that is 204, which a pair misses with probability 3e-7.
 BITS, DEVIATIONS = 256, 5.5
@@ -125,6 +132,39 @@ def agreeing() -> Column:
     return F.lit(BITS) - reduce(Column.__add__, differing)
 
 
+def alike_at_most(percent: int) -> Column:
+    """Whether a member and a pivot can be similar enough, by what each shares with the bucket's centre and, beside it, with anyone."""
+    shared = F.least("inner", "p_inner") + F.least("outer", "p_outer")
+    shared = F.least(shared, "n", "p_n")
+    return 100 * shared >= percent * (F.col("n") + F.col("p_n") - shared)
+
+
+def around_centres(mixed: DataFrame, centres: DataFrame, sets: DataFrame) -> DataFrame:
+    """``mixed`` with ``inner`` and ``outer``: shingles in the set of the bucket's centre, and other ones that one more member has.
+
+    A bucket's centre is its first pivot; members of all buckets with one centre are seen together, once.
+    """
+    at = settle(mixed.drop("inner", "outer").join(centres, "key"), "centred")
+    visits = settle(at.select("centre", "class_id").distinct(), "visits")
+    counts = settle(visits.groupBy("centre").agg(F.count("*").alias("n")), "visit-counts")
+    middle = sets.select(F.col("class_id").alias("centre"), F.col("items").alias("middle"))
+    both = spread_lookup(visits.join(sets, "class_id"), middle, counts, ["centre"], F.col("class_id"), "inner")
+    split = both.select(
+        "centre",
+        "class_id",
+        F.size(F.array_intersect("items", "middle")).cast("long").alias("inner"),
+        F.array_except("items", "middle").alias("rest"),
+    )
+    split = settle(split, "around")
+    rest = split.select("centre", "class_id", F.explode("rest").alias("item"))
+    # An item that no other member has is seen once.
+    alone = rest.groupBy("centre", "item").agg(F.min("class_id").alias("class_id"), F.max("class_id").alias("last"))
+    alone = alone.filter("class_id = last").groupBy("centre", "class_id").agg(F.count("*").alias("alone"))
+    outer = F.size("rest") - F.coalesce("alone", F.lit(0))
+    known = split.join(alone, ["centre", "class_id"], "left").select("centre", "class_id", "inner", outer.cast("long").alias("outer"))
+    return at.join(known, ["centre", "class_id"]).drop("centre")
+
+
 def class_components(docs: DataFrame, reps: DataFrame, several: DataFrame | None, words: int, percent: int) -> DataFrame:
     """``class_id, comp`` for the classes that share a bucket with another; ``reps`` has their sizes, bands and bits."""
     rows = reps.select("class_id", F.explode("bands").alias("key"))
@@ -132,7 +172,9 @@ def class_components(docs: DataFrame, reps: DataFrame, several: DataFrame | None
     met_once = settle(rows.join(shared, "key"), "met")
     central = settle(met_once.groupBy("class_id").agg(F.sum("members").alias("company")), "company")
     members = central.select("class_id")
-    own = reps.select("class_id", "n", *BIT_COLUMNS).join(central, "class_id")
+    # Until a centre is known a member can share all that it has with anyone.
+    unknown = (F.col("n").alias("inner"), F.lit(0).cast("long").alias("outer"))
+    own = reps.select("class_id", "n", *unknown, *BIT_COLUMNS).join(central, "class_id")
     buckets = settle(met_once.drop("members").join(own, "class_id"), "buckets")
     if several is None:
         texts = docs.join(members, F.col("doc_id") == F.col("class_id"), "left_semi").dropDuplicates(["doc_id"])
@@ -144,6 +186,7 @@ def class_components(docs: DataFrame, reps: DataFrame, several: DataFrame | None
     labels = settle(members.withColumn("comp", F.col("class_id")), "labels")
     step, pivots_now = 0, 0
     compared: DataFrame | None = None
+    centres: DataFrame | None = None
     while True:
         step += 1
         sizes = settle(labels.groupBy("comp").agg(F.count("*").alias("size")), "component-sizes")
@@ -152,16 +195,21 @@ def class_components(docs: DataFrame, reps: DataFrame, several: DataFrame | None
         mixed = settle(placed.join(open_keys, "key"), "mixed-buckets")
         if mixed.isEmpty():
             return labels
+        if step == CENTRED_STEP:
+            mixed = around_centres(mixed, centres, sets)
+            mixed = settle(mixed.join(reps.select("class_id", "bands"), "class_id"), "bounded-buckets")
+        carried = ["n", "inner", "outer"] + (["bands"] if step >= CENTRED_STEP else [])
         pivots_now = FIRST_PIVOTS[step - 1] if step <= len(FIRST_PIVOTS) else min(2 * pivots_now, MOST_PIVOTS)
         # Members of small components first: they have the fewest links, and the others need not be pivots then.
         first = Window.partitionBy("key").orderBy("size", F.desc("company"), F.xxhash64("class_id", F.lit(step)), "class_id")
         ranked = mixed.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= pivots_now)
-        pivots = settle(ranked.select("key", *[F.col(c).alias(f"p_{c}") for c in ("class_id", "comp", "n", *BIT_COLUMNS)]), "pivots")
-        near = (
-            (F.col("comp") != F.col("p_comp"))
-            & (100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n"))
-            & (agreeing() >= least_agreeing(percent))
-        )
+        of_pivot = ("class_id", "comp", *carried, *BIT_COLUMNS)
+        pivots = settle(ranked.select("key", *[F.col(c).alias(f"p_{c}") for c in of_pivot]), "pivots")
+        near = (F.col("comp") != F.col("p_comp")) & alike_at_most(percent) & (agreeing() >= least_agreeing(percent))
+        if step == 1:
+            centres = pivots.select("key", F.col("p_class_id").alias("centre"))
+        if step >= CENTRED_STEP:
+            near = near & (F.array_min(F.array_intersect("bands", "p_bands")) == F.col("key"))
         met = mixed.join(pivots, "key").filter(near)
         pairs = met.select(F.least("class_id", "p_class_id").alias("a"), F.greatest("class_id", "p_class_id").alias("b"))
         # A pair that meets in several buckets is compared once.
@@ -170,7 +218,7 @@ def class_components(docs: DataFrame, reps: DataFrame, several: DataFrame | None
         compared = fresh if compared is None else compared.unionByName(fresh)
         links = settle(verified(fresh, sets, percent), "links")
         done = pivots.select("key", F.col("p_class_id").alias("class_id"))
-        buckets = mixed.join(done, ["key", "class_id"], "left_anti").select("class_id", "n", "company", *BIT_COLUMNS, "key")
+        buckets = mixed.join(done, ["key", "class_id"], "left_anti").select("class_id", "company", *carried, *BIT_COLUMNS, "key")
         if not links.isEmpty():
             labels = settle(relabelled(labels, links), "labels")
 
