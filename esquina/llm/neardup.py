@@ -7,7 +7,7 @@ bucket is its most central member, the one with most company over all its bucket
 alike to each other than to it, that is the text itself, and one step joins them. Pivots leave their bucket, so in the
 end every pair of a bucket has been compared or is connected.
 
-Members that are almost as alike to that text as its copies would be compared with all of them. From the third step on,
+Members that are almost as alike to that text as its copies would be compared with all of them. From the second step on,
 every member of a bucket has two more numbers: how many shingles it shares with the first pivot, and how many of its
 other shingles any other member has at all. Two members share no more than the lesser of each, which rules out most of
 these pairs exactly. A pair that meets in several buckets is left to the first band that it shares.
@@ -38,7 +38,7 @@ PERCENT = 80
 # Members of a bucket that are compared with its others in the first steps; later twice as many as in the step before.
 # Up to the bound Spark cuts a ranking to its first rows before it shuffles them.
 FIRST_PIVOTS, MOST_PIVOTS = (1, 4, 64), 512
-CENTRED_STEP = 3  # from here on members are bounded by what they share with the first pivot
+CENTRED_STEP = 2  # from here on members are bounded by what they share with the first pivot
 # Bits of a sketch that are compared first. At a similarity s a bit agrees with probability (1 + s) / 2; the bound lies
 # 5.5 deviations below the mean. Of 256 bits at 0.8 that is 204, which a pair misses with probability 3e-7.
 BITS, DEVIATIONS = 256, 5.5
