@@ -56,7 +56,7 @@ def load(
     key = load_key(spark, [streets_path, intersections_path], config)
     if not needs_import(spark, key, store.path("state")):
         return False
-    options = dict(src=config.src, dst=config.dst, promote=config.promote, layout=layout, on_error=on_error)
+    options = dict(src=config.src, dst=config.dst, promote=config.promote, layout=layout, on_error=on_error, settled=True)
     streets = read_geojson(spark, streets_path, STREET_SCHEMA, **options)
     crossings = read_geojson(spark, intersections_path, INTERSECTION_SCHEMA, **options)
     for name, rows in (("streets", streets.rows), ("intersections", with_code_list(crossings.rows))):

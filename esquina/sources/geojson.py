@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from esquina.functions import geometry as gm
+from esquina.operators.stage import settle
 from esquina.sources.blocks import scan_collections
 
 # Columns that the engine reads; the raw properties are kept beside them.
@@ -78,6 +79,7 @@ def read_geojson(
     promote: bool = True,
     layout: str = "collection",
     on_error: str = "skip",
+    settled: bool = False,
 ) -> Loaded:
     """Features as rows: id, the columns of ``schema``, properties, geom.
 
@@ -88,7 +90,8 @@ def read_geojson(
     that way, and splits large files over many tasks; it needs an id in every feature.
     Features without a usable geometry or id are rejected, and so are those that repeat an
     id, in whatever file: the one whose text comes first is kept. ``on_error="fail"`` makes
-    them fail the job instead.
+    them fail the job instead. ``settled`` stores what was read, for callers that take both
+    tables, so that the files are parsed once.
     """
     read = {"collection": _features_of_collections, "blocks": _features_of_blocks, "lines": _features_of_lines}[layout]
     features = read(spark, path)
@@ -106,6 +109,9 @@ def read_geojson(
     by_id = Window.partitionBy("id", F.when(reason.isNotNull(), F.xxhash64("raw"))).orderBy("raw")
     repeated = F.when(F.row_number().over(by_id) > 1, F.lit("repeated id"))
     checked = parsed.withColumn("reason", F.coalesce(reason, repeated))
+    if settled:
+        # The text is needed of a rejected feature only.
+        checked = settle(checked.withColumn("raw", F.when(F.col("reason").isNotNull(), F.col("raw"))), "features")
     rejects = checked.filter(F.col("reason").isNotNull()).select("raw", "reason")
     if on_error == "fail":
         bad = F.raise_error(F.concat(F.lit("bad feature: "), F.col("raw")))

@@ -219,3 +219,18 @@ def test_stream_against_stored_look_ups(spark, stored, tmp_path):
     done = spark.read.parquet(str(tmp_path / "out")).drop("batch")
     want = address.geocode_addresses(requests, stored.table(spark, "streets"))
     assert sorted(map(str, done.select(*want.columns).collect())) == sorted(map(str, want.collect())) and done.filter("success").count() > 0
+
+
+def test_settled_features_are_parsed_once_for_both_tables(spark, tmp_path):
+    point = '{"type":"Feature","id":%d,"properties":{"num_calle":"%s"},"geometry":%s}\n'
+    place = '{"type":"Point","coordinates":[-58.5,-34.5]}'
+    lines = [point % (1, "a;b", place), point % (1, "b;c", place), point % (2, "c", "null"), point % (3, "d", place)]
+    (tmp_path / "in.txt").write_text("".join(lines))
+    plain, once = (
+        geojson.read_geojson(spark, str(tmp_path), geojson.INTERSECTION_SCHEMA, layout="lines", **more) for more in ({}, {"settled": True})
+    )
+    for table in ("rows", "rejects"):
+        want, got = getattr(plain, table), getattr(once, table)
+        assert want.columns == got.columns and sorted(map(str, want.collect())) == sorted(map(str, got.collect()))
+        assert "Scan text" not in got._jdf.queryExecution().executedPlan().toString()
+    assert once.rows.count() == 2 and once.rejects.count() == 2
