@@ -196,7 +196,8 @@ def region_words(needed: DataFrame, window: int) -> DataFrame:
                     own = [pa.array([w[c] for w in wanted], k) for c, k in (("run", pa.int64()), ("start", pa.int32()), ("places", pa.int64()), ("windows", pa.int32()))]
                     yield pa.RecordBatch.from_arrays([*same, *own, pa.array(cut, pa.binary())], ["doc_id", "row_key", "run", "start", "places", "windows", "words"])
 
-    return needed.mapInArrow(run, "doc_id long, row_key long, run long, start int, places long, windows int, words binary")
+    some = needed.filter(F.size("wanted") > 0)
+    return some.mapInArrow(run, "doc_id long, row_key long, run long, start int, places long, windows int, words binary")
 
 
 def counted_windows(regions: DataFrame, window: int) -> DataFrame:
@@ -216,7 +217,9 @@ def counted_windows(regions: DataFrame, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     schema = "doc_id long, row_key long, run long, start int, places long, i int, words binary"
-    each = regions.mapInArrow(run, schema).withColumn("w1", F.xxhash64("words")).withColumn("w2", F.xxhash64(F.lit(1), "words")).drop("words")
+    hashed = regions.mapInArrow(run, schema).withColumn("w1", F.xxhash64("words")).withColumn("w2", F.xxhash64(F.lit(1), "words"))
+    # Both sides of the join read them, so they are made once and written.
+    each = settle(hashed.drop("words", "run"), "windows")
     again = each.groupBy("w1", "w2").agg(F.sum("places").alias("n")).filter("n > 1").select("w1", "w2")
     marked = each.filter("places = 1").join(again, ["w1", "w2"])
     bit = F.expr("shiftleft(1L, i)")

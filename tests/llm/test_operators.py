@@ -395,3 +395,12 @@ def test_lines_near_the_threshold_are_counted_exactly(spark, sites):
     rows = [(i, "one line of five words", f"s{i % sites}", "en") for i in range(40)]
     gone = {r.n_removed for r in lines.remove_common_lines(table(spark, rows)).collect()}
     assert gone == {int(sites >= lines.MIN_SITES)}
+
+
+def test_windows_of_crowded_runs_are_made_once(spark):
+    words = [b" ".join(b"w%d" % w for w in range(i, i + 40)) for i in (0, 3, 90)]
+    rows = [(i, 0, 1, 5, 1, 6, w) for i, w in enumerate(words)]
+    regions = spark.createDataFrame(rows, "doc_id long, row_key long, run long, start int, places long, windows int, words binary")
+    marked = substrings.counted_windows(regions, 35)
+    assert "MapInArrow" not in marked._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.doc_id, r.start, r.mask) for r in marked.collect()} == {(0, 5, 0b111000), (1, 5, 0b111)}
