@@ -39,6 +39,13 @@ def map_documents(docs: DataFrame, fn: Callable[[int | None, bytes | None], Iter
     return docs.mapInArrow(run, schema)
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that what is made of one, here and in the JVM that reads it, stays small."""
+    for b in batches:
+        for first in range(0, b.num_rows, rows):
+            yield b.slice(first, rows)
+
+
 def table(rows: list[Row], arrow: pa.Schema) -> pa.RecordBatch:
     columns = zip(*rows)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)

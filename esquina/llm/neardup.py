@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from esquina.llm.batches import id_and_text
+from esquina.llm.batches import id_and_text, small
 from esquina.llm.graph import components
 from esquina.llm.sketch import Shingles, band_keys, coordinate_bits, set_digest, sketch
 from esquina.operators.skew import spread_lookup
@@ -52,7 +52,7 @@ def sketches(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Shingles(words)
-        for b in batches:
+        for b in small(batches):
             sizes, digests, keys, bits = [], [], [], []
             for t in b.column("text"):
                 items = of.of(t.as_py())
@@ -75,7 +75,7 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Shingles(words)
-        for b in batches:
+        for b in small(batches):
             sets = [of.of(t.as_py()) for t in b.column("text")]
             digests = [set_digest(s) for s in sets]
             columns = [pa.array([d[i] for d in digests], pa.int64()) for i in (0, 1)]

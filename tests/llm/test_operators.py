@@ -404,3 +404,14 @@ def test_windows_of_crowded_runs_are_made_once(spark):
     marked = substrings.counted_windows(regions, 35)
     assert "MapInArrow" not in marked._jdf.queryExecution().optimizedPlan().toString()
     assert {(r.doc_id, r.start, r.mask) for r in marked.collect()} == {(0, 5, 0b111000), (1, 5, 0b111)}
+
+
+def test_sketches_and_sets_are_made_in_small_batches():
+    class Handed:
+        def mapInArrow(self, run, schema):
+            batch = pa.RecordBatch.from_pydict({"doc_id": list(range(2500)), "text": [b"a b c d e f %d" % i for i in range(2500)]})
+            return list(run(iter([batch])))
+
+    made = neardup.shingle_sets(Handed(), 5)
+    assert [b.num_rows for b in made] == [1000, 1000, 500]
+    assert [i for b in made for i in b.column("doc_id").to_pylist()] == list(range(2500))
