@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 # Bytes of units and their ids that a Python worker keeps; it only saves time.
 HELD_BYTES = 48 << 20
 # Text that is worked on at once, in bytes.
-SLICE = 4 << 20
+SLICE = 2 << 20
 # Places that always separate two matches of the pre-tokenizer: a letter before one of these characters.
 LETTER_THEN_SIGN = "([A-Za-zÀ-ɏ])([%*#$&|.,;:!?])"
 BLANK = r"[\s\v\x1c-\x1f\x{85}\p{Z}]"
@@ -36,14 +36,13 @@ class Held:
 
     def get(self, units: pa.Array) -> np.ndarray:
         """For distinct units: their places among the young ones, less than 0 where new."""
-        return pc.fill_null(pc.index_in(units, value_set=self.young[0]), -1).to_numpy(zero_copy_only=False)
+        return places(units, self.young[0])
 
     def promoted(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Which of ``units`` the old generation knows, their ids and their sizes."""
         known, flat, ends = self.old
-        found = pc.index_in(units, value_set=known)
-        at = found.drop_null().to_numpy()
-        return found.is_valid().to_numpy(zero_copy_only=False), *gathered(flat, ends, at)
+        at = places(units, known)
+        return at >= 0, *gathered(flat, ends, at[at >= 0])
 
     def put(self, units: pa.Array, flat: np.ndarray, sizes: np.ndarray) -> None:
         known, before, ends = self.young
@@ -58,6 +57,17 @@ class Held:
             self.young = (pa.array([], pa.string()), np.empty(0, np.uint32), np.zeros(1, np.int64))
 
 
+def places(units: pa.Array, known: pa.Array) -> np.ndarray:
+    """Where distinct ``units`` stand among the distinct ``known`` ones, -1 where nowhere.
+
+    The few are hashed and the many looked up in them, as a table of the many would be made anew for every slice.
+    """
+    found = pc.index_in(known, value_set=units)
+    at = np.full(len(units), -1, np.int64)
+    at[found.drop_null().to_numpy()] = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+    return at
+
+
 def gathered(flat: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs of ``flat`` numbered ``at``, one after another, and their sizes."""
     begin, size = ends[at], ends[at + 1] - ends[at]
@@ -122,7 +132,9 @@ class UnitIds:
             self.held.put(missing.filter(pa.array(old)), flat, sizes)
             new = missing.filter(pa.array(~old))
             self.held.put(new, *self._learn(new.to_pylist()))
-            at = self.held.get(distinct)
+            # Both came behind the ones before, in this order.
+            order = np.concatenate([np.flatnonzero(old), np.flatnonzero(~old)])
+            at[np.flatnonzero(at < 0)[order]] = len(self.held.young[0]) - len(missing) + np.arange(len(missing))
         return at
 
     def _ids(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:

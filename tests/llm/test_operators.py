@@ -415,3 +415,22 @@ def test_sketches_and_sets_are_made_in_small_batches():
     made = neardup.shingle_sets(Handed(), 5)
     assert [b.num_rows for b in made] == [1000, 1000, 500]
     assert [i for b in made for i in b.column("doc_id").to_pylist()] == list(range(2500))
+
+
+def test_each_slice_meets_the_known_units_once(monkeypatch):
+    monkeypatch.setattr(vocab, "HELD_BYTES", 2000)  # so that units come from both generations and anew
+    coder = vocab.UnitIds(public_tokenizers.path("word_bpe_49k.json"), False)
+    asked, get = [], coder.held.get
+    monkeypatch.setattr(coder.held, "get", lambda units: asked.append(len(units)) or get(units))
+    texts = [" ".join(f"w{j * j % 97}x" for j in range(k, k + 30)) for k in range(0, 200, 10)]
+    for n, text in enumerate(texts, 1):
+        ids, _ = coder.encode(pa.array([text]))
+        assert ids.tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(asked) == n
+
+
+def test_places_of_units():
+    known = pa.array(["b", "a", "", "c"])
+    assert vocab.places(pa.array(["c", "x", "b", ""]), known).tolist() == [3, -1, 0, 2]
+    assert vocab.places(pa.array([], pa.string()), known).tolist() == []
+    assert vocab.places(pa.array(["a"]), pa.array([], pa.string())).tolist() == [-1]
