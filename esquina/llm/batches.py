@@ -11,6 +11,23 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
 Row = tuple
+# What this Python worker keeps from one task to the next, under its name: one thing at most.
+KEPT: dict = {}
+
+
+def kept(name: object, make: Callable[[], object]) -> object:
+    """What ``make`` gave when ``name`` was last asked for in this worker, or gives now."""
+    if name not in KEPT:
+        drop_kept()
+        KEPT[name] = make()
+    return KEPT[name]
+
+
+def drop_kept() -> None:
+    """For tasks of another kind in a reused worker: what earlier ones kept goes, and Arrow gives back unused memory."""
+    if KEPT:
+        KEPT.clear()
+        pa.default_memory_pool().release_unused()
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -41,6 +58,7 @@ def map_documents(docs: DataFrame, fn: Callable[[int | None, bytes | None], Iter
 
 def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The batches in slices, so that what is made of one, here and in the JVM that reads it, stays small."""
+    drop_kept()
     for b in batches:
         for first in range(0, b.num_rows, rows):
             yield b.slice(first, rows)

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from esquina.llm.batches import drop_kept
+
 SYMBOLS = "#*$%&|<>"
 BLANKS = "\t\n\x0b\x0c\r "
 MEASURES = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
@@ -92,6 +94,7 @@ def measured(text: Column) -> Column:
 
     @F.arrow_udf(f"struct<{', '.join(f'{n}: long' for n in names)}>")
     def measure(texts: pa.Array) -> pa.Array:
+        drop_kept()
         return pa.array([dict(zip(names, measure_text(t.as_py()))) for t in texts], kind)
 
     return measure(text.cast("binary"))

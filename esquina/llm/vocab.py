@@ -10,12 +10,13 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from esquina.llm.batches import kept
+
 # Bytes of units and their ids that a Python worker keeps; it only saves time.
 HELD_BYTES = 48 << 20
 # Text that is worked on at once, in bytes.
@@ -187,6 +188,5 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(a, b - a)
 
 
-@lru_cache(maxsize=1)
 def unit_ids(path: str, spaced: bool) -> UnitIds:
-    return UnitIds(path, spaced)
+    return kept((path, spaced), lambda: UnitIds(path, spaced))

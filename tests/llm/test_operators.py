@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from esquina.llm import ann, bpe, html_tree, language, lines, neardup, packing, quality, sketch, substrings, vocab, wavelet
+from esquina.llm import ann, batches, bpe, html_tree, language, lines, neardup, packing, quality, sketch, substrings, vocab, wavelet
 from esquina.llm.ship import ship
 
 # The last columns bear names that operators might use inside.
@@ -434,3 +434,12 @@ def test_places_of_units():
     assert vocab.places(pa.array(["c", "x", "b", ""]), known).tolist() == [3, -1, 0, 2]
     assert vocab.places(pa.array([], pa.string()), known).tolist() == []
     assert vocab.places(pa.array(["a"]), pa.array([], pa.string())).tolist() == [-1]
+
+
+def test_tasks_of_another_kind_drop_what_tokenizing_kept():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coder = vocab.unit_ids(path, False)
+    assert vocab.unit_ids(path, False) is coder
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": [b"a b c"]})
+    assert [b.num_rows for b in batches.small(iter([batch]))] == [1]
+    assert not batches.KEPT
