@@ -41,8 +41,14 @@ def with_bounds(streets: DataFrame) -> DataFrame:
     )
 
 
-def best_blocks(streets: DataFrame) -> DataFrame:
-    """The narrowest segment of every (code, side, block); ties go to the lowest id."""
+def best_blocks(streets: DataFrame, asked: tuple[int, int] | None = None) -> DataFrame:
+    """The narrowest segment of every (code, side, block); ties go to the lowest id.
+
+    With ``asked``, the least and the greatest number that is looked up, ranges are tiled between the two only.
+    """
+    tiled_from, tiled_to = F.col("low"), F.col("high")
+    if asked is not None:
+        tiled_from, tiled_to = F.greatest(tiled_from, F.lit(asked[0]).cast("long")), F.least(tiled_to, F.lit(asked[1]).cast("long"))
 
     def side(even: bool, low: str, high: str) -> Column:
         return F.struct(
@@ -56,17 +62,25 @@ def best_blocks(streets: DataFrame) -> DataFrame:
     return (
         with_bounds(streets)
         .select(tx.norm_code(F.col("numero_cal")).alias("code"), "id", F.inline(sides))
+        .withColumns({"low": tiled_from, "high": tiled_to})
         .select("code", "even", "width", "id", F.inline_outer(rg.pieces_of_range("low", "high", with_any=True)))
         .groupBy("code", "even", "level", "block")
         .agg(F.min(F.struct("width", "id")).alias("best"))
     )
 
 
+def asked_numbers(points: DataFrame) -> tuple[int, int]:
+    """The least and the greatest number of the points; an empty range where none has one."""
+    ends = points.agg(F.min("altura").alias("least"), F.max("altura").alias("greatest")).first()
+    return (0, -1) if ends["least"] is None else (ends["least"], ends["greatest"])
+
+
 def best_segments(points: DataFrame, streets: DataFrame | StreetIndex) -> DataFrame:
     """(code, altura, fallback) to the id of the segment that is chosen.
 
     Segments in range come first, then the narrowest. Without one in range, ``fallback``
-    takes the narrowest segment of that side of the street.
+    takes the narrowest segment of that side of the street. Points are read twice where
+    the blocks are not stored, so that they are best settled.
     """
     asked = points.select(
         "code",
@@ -75,7 +89,7 @@ def best_segments(points: DataFrame, streets: DataFrame | StreetIndex) -> DataFr
         F.inline_outer(rg.pieces_of_number("altura", "fallback")),
     )
     index = indexed(streets)
-    blocks = best_blocks(index.streets) if index.blocks is None else index.blocks
+    blocks = best_blocks(index.streets, asked_numbers(points)) if index.blocks is None else index.blocks
     met = asked.join(blocks, ["code", "even", "level", "block"])
     # A number meets at most one row per level, so that taking it by level keeps the
     # aggregation on plain numbers, which Spark hashes; structs it would sort.
@@ -179,10 +193,11 @@ def attach_addresses(requests: DataFrame, streets: DataFrame | StreetIndex, vali
         F.when(F.col("_by_code"), F.col("_key")).otherwise(tx.norm_code(F.col("resolved"))).alias("_code"),
     )
     coded = settle(looked, "address-codes")
-    points = coded.groupBy("_code", "_number").agg(F.max("fallback").alias("fallback"), F.count(F.lit(1)).alias("n"))
+    points = settle(
+        coded.groupBy("_code", "_number").agg(F.max("fallback").alias("fallback"), F.count(F.lit(1)).alias("n")),
+        "address-points",
+    )
     may_be_hot = coded.count() > hot_rows(coded)
-    if may_be_hot:
-        points = settle(points, "address-points")
     number = F.when(F.col("_number") != NO_NUMBER, F.col("_number"))
     asked = points.select(F.col("_code").alias("code"), number.alias("altura"), "fallback")
     placed = place(best_segments(asked, streets), streets).select(

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from esquina.operators.address import FIELDS, NOT_FOUND, UNMERGEABLE, answer_json, attach_addresses, geocode_addresses
+from esquina.operators.address import FIELDS, NOT_FOUND, UNMERGEABLE, answer_json, attach_addresses, best_blocks, best_segments, geocode_addresses
 from esquina.plans.batch import geocode_table
 from tests.helpers import streets
 
@@ -115,3 +115,26 @@ def test_batch_keeps_rows_and_columns(spark):
     got = {r["req_id"]: r for r in geocode_table(df, table, "partido = 'P'").collect()}
     assert set(got) == {1, 2} and got[1]["numero_cal"] == "x"
     assert got[1]["api_result_api_success"] is True and got[2]["api_result_api_lon"] is None
+
+
+def test_only_asked_numbers_are_tiled(spark):
+    table = streets(spark, [(i, "a", f"n{i}", 100 * i, 100 * i + 98, 100 * i + 1, 100 * i + 99) for i in range(300)])
+    blocks = best_blocks(table, (150, 210)).filter("level >= 0").withColumn("at", F.col("block") * F.pow(F.lit(16), "level"))
+    ends = blocks.agg(F.min("at"), F.max("at"), F.count(F.lit(1))).first()
+    assert ends[0] >= 150 and ends[1] <= 210 and ends[2] <= 2 * 61
+    # Widths are those of the whole ranges, and any number still finds the narrowest segment of all.
+    assert {r["best"]["width"] for r in blocks.collect()} == {98}
+    assert best_blocks(table, (150, 210)).filter("level < 0").count() == 2
+
+
+@pytest.mark.parametrize("numbers", [[150], [0, 29_999], [-3, 5], [40_000], [None], [None, 7, 2501]])
+def test_numbers_at_the_ends_of_those_asked(spark, numbers):
+    wide = [(900, "A", "n900", 2400, 2502, None, None), (901, "B", "n901", None, None, -9, -2), (902, "B", "n902", 2_000_000, 3_000_000, 5, 5)]
+    table = [(i, "A", f"n{i}", 100 * i, 100 * i + 98, 100 * i + 1, 100 * i + 99) for i in range(300)] + wide
+    for fallback in (False, True):
+        points = spark.createDataFrame([(c, n, fallback) for c in "AB" for n in numbers], "code string, altura long, fallback boolean")
+        got = {(r["code"], r["altura"]): r["id"] for r in best_segments(points, streets(spark, table)).collect()}
+        for code, number, _ in points.collect():
+            # No number reads as an odd one that is in no range.
+            want = brute(table, code, -99 if number is None else number, fallback)
+            assert got.get((code, number)) == want, (code, number, fallback)

@@ -30,6 +30,20 @@ def test_query_agrees_with_its_sql(spark, con, name):
     assert rows_of(df.columns, df.collect()) == rows_of(columns, cur.fetchall())
 
 
+@pytest.mark.parametrize("name", ["e3_geocode_address", "e5_j7_batch"])
+def test_requests_are_made_once(spark, tmp_path, name):
+    rows = {
+        "part": spark.createDataFrame([(1, "red bolt", 7), (2, "new rod", 50)], "p_partkey long, p_name string, p_size int"),
+        "lineitem": spark.createDataFrame([(5, 1), (5, 2), (6, 2)], "l_orderkey long, l_partkey long"),
+        "orders": spark.createDataFrame([(5, 3, "F", "2-HIGH"), (6, 8, "O", "5-LOW")], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string"),
+    }
+    for table, df in rows.items():
+        df.write.parquet(f"{tmp_path}/{table}.parquet")
+    done = contract.queries()[name](spark, str(tmp_path))
+    assert {r["req_id"] for r in done.collect()} == {5, 6}
+    assert not [f for f in done.inputFiles() if f"{tmp_path}/" in f]
+
+
 def test_every_oracle_has_a_query():
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
