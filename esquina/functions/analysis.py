@@ -66,15 +66,18 @@ def _replace_all(sql: str, table: dict[str, str]) -> str:
 
 def html_strip(s: str) -> str:
     """Script, style and comment bodies go; inline tags vanish; other tags break the line."""
+    plain = s
     for pattern in (
         r"(?is)<script\b[^>]*>.*?</script\s*>",
         r"(?is)<style\b[^>]*>.*?</style\s*>",
         r"(?s)<!--.*?-->",
     ):
-        s = f"regexp_replace({s}, {quoted(pattern)}, ' ')"
-    s = f"regexp_replace({s}, {quoted(rf'(?i)</?({INLINE_TAGS})(\s[^>]*)?/?>')}, '')"
-    s = f"regexp_replace({s}, {quoted(r'</?[A-Za-z!?][^>]*>')}, '\\n')"
-    return _replace_all(s, ENTITIES)
+        plain = f"regexp_replace({plain}, {quoted(pattern)}, ' ')"
+    plain = f"regexp_replace({plain}, {quoted(rf'(?i)</?({INLINE_TAGS})(\s[^>]*)?/?>')}, '')"
+    plain = f"regexp_replace({plain}, {quoted(r'</?[A-Za-z!?][^>]*>')}, '\\n')"
+    # Most texts have neither tags nor entities and are not searched for each of them.
+    plain = f"IF(contains({s}, '<'), {plain}, {s})"
+    return f"IF(contains({s}, '&'), {_replace_all(plain, ENTITIES)}, {plain})"
 
 
 def collapse_spaces(s: str) -> str:
@@ -103,8 +106,12 @@ def fold(s: str) -> str:
 
 
 def street_words(s: str) -> str:
-    """Character filters, folding and word split of the street field."""
-    return words(fold(expand_abbreviations(collapse_spaces(html_strip(s)))))
+    """Character filters, folding and word split of the street field.
+
+    Folding gives letters for letters, so words can be split first; only those with other than ASCII signs are folded.
+    """
+    split = words(f"lower({expand_abbreviations(collapse_spaces(html_strip(s)))})")
+    return f"transform({split}, w -> IF(length(w) = octet_length(w), w, {fold_sql('w')}))"
 
 
 def plain_words(s: str) -> str:
@@ -141,7 +148,7 @@ def with_numbers(entries: str, ws: str) -> str:
     numbers = f"filter(transform({ws}, (w, i) -> named_struct('w', w, 'i', i)), x -> {_is_number('x.w')})"
     synonyms = f"flatten(transform({numbers}, x -> concat({single}, {spelled}, {joined})))"
     bound = f"get(transform(array({_number_map()}), m -> {synonyms}), 0)"
-    return f"IF(exists({ws}, w -> {_is_number('w')}), array_sort(concat({entries}, {bound})), {entries})"
+    return f"IF(exists({ws}, w -> {_is_number('w')}), sort_array(concat({entries}, {bound})), {entries})"
 
 
 def _is_number(w: str) -> str:
@@ -196,6 +203,12 @@ def query_entries(ws: str) -> str:
     return without(entries, [*HONORIFICS, *CONNECTORS, *spanish_stop_words()])
 
 
+def stream_runs(entries: str) -> str:
+    """Entries with the two terms that follow in stream order, null at the end: what shingles are made of."""
+    parts = ", ".join(f"'next{k}', get({entries}, i + {k}).term" for k in range(1, SHINGLE_MAX))
+    return f"transform({entries}, (e, i) -> named_struct('pos', e.pos, 'term', e.term, {parts}))"
+
+
 def shingles(entries: str) -> str:
     """Single terms and runs of two and three, in stream order, at the first position."""
     runs = ["e.term"]

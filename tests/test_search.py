@@ -217,3 +217,28 @@ def test_what_grows_with_the_names_is_not_broadcast(spark):
     ):
         assert some.count() == n
         assert "Broadcast" not in some._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counted_terms_are_those_of_the_chain(spark, monkeypatch):
+    monkeypatch.setattr(search, "RUN_CHARS", 40)
+    rng = random.Random(5)
+    words = ["av.", "gral", "la", "uno", "31", "treinta y uno", "ñandú", "straße", "san", "santa", "santafé", "x", "7", "&amp;", "<b>", "<p>", "belgrano", "belgranos", "constitucionalmente"]
+    texts = [(rng.choice([1, 2, 3, None, 4]), " ".join(rng.choices(words, k=rng.randrange(12)))) for _ in range(60)]
+    docs = spark.createDataFrame([*texts, (5, None), (6, ""), (7, "de la"), (8, "a b")], "nid long, nombre_cal string")
+    per_term = search.street_terms(docs).groupBy("nid", "term").agg(F.count("*").alias("n"), F.sum("pos").alias("at"))
+    weight = (F.col("at") + F.col("n")) * F.length("term")
+    want = per_term.groupBy("nid").agg(F.sum("n").alias("n"), F.count("*").alias("terms"), F.sum(weight).alias("weight"))
+    got = search.term_counts(docs)
+    assert got.dtypes == want.dtypes
+    key = lambda r: str(tuple(r))
+    assert sorted(got.collect(), key=key) == sorted(want.collect(), key=key)
+    # One row per word or initial, not one per term.
+    entries = search.shingle_runs(docs)
+    assert 0 < 4 * entries.count() < search.street_terms(docs).count()
+
+
+@pytest.mark.parametrize("text", ["Straße ÆGIR", "İZMİR ñandú", "a&ntilde;b <i>c</i>d", "x &lt; y", "<p>uno</p>dos", "日本 Łódź 31"])
+def test_words_split_before_folding_are_those_split_after(spark, text):
+    old = an.words(an.fold(an.expand_abbreviations(an.collapse_spaces(an.html_strip("s")))))
+    row = spark.createDataFrame([(text,)], "s string").select(F.expr(old).alias("old"), F.expr(an.street_words("s")).alias("new")).first()
+    assert row["old"] == row["new"]
